@@ -1,0 +1,5 @@
+"""No streaming operator is in scope: the work is batch only.
+
+The counting transforms in ``hailgrid.operators.counts`` are plain DataFrame
+code, so nothing here wraps them.
+"""
