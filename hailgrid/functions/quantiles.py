@@ -19,14 +19,10 @@ BRACKET = 10.0 / SKETCH_ACCURACY
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with ``q0, q1, ...``: linearly interpolated quantiles.
-
-    With no ``by`` columns the result is one row under the constant key ``_all``.
-    """
-    keys = list(by) or ["_all"]
+    """One row per group with ``q0, q1, ...``: linearly interpolated quantiles."""
+    keys = list(by)
     col = F.col(value) if isinstance(value, str) else value
-    source = df if by else df.withColumn("_all", F.lit(0))
-    data = source.select(*keys, col.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    data = df.select(*keys, col.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
 
     lows = [max(0.0, p - BRACKET) for p in probs]
     highs = [min(1.0, p + BRACKET) for p in probs]
@@ -36,7 +32,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         F.percentile_approx("_v", highs, SKETCH_ACCURACY).alias("_hi"),
     )
 
-    bracketed = _attach(data, sketch, keys)
+    bracketed = attach(data, sketch, keys)
     # Rows outside the bracket only matter through how many lie below it and
     # which value is the nearest on either side.
     sides = bracketed.groupBy(*keys).agg(
@@ -66,7 +62,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         )
     )
 
-    ranked = _attach(inside.drop("count"), sides, keys)
+    ranked = attach(inside.drop("count"), sides, keys)
     spans = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("_n") - 1)
@@ -91,10 +87,15 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     return picked.select(*keys, *out)
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join the per-group row of ``right`` onto ``left``; null keys match."""
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put the per-group row of ``right`` beside every row of ``left``.
+
+    Without keys ``right`` is a single row and comes in as a scalar subquery, so
+    nothing is shuffled for it. Null keys match.
+    """
+    if not keys:
+        row = right.select(F.struct(*right.columns).alias("_row")).scalar()
+        return left.withColumn("_row", row).select(*left.columns, "_row.*")
     renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(renamed, condition).drop(*[f"_k_{k}" for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_k_{k}" for k in keys])

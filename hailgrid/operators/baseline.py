@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hailgrid.functions import clock
@@ -47,6 +47,18 @@ def predict_means(counts: DataFrame, model: DataFrame, keys: Sequence[str] = CEL
     ).drop("mean_count", "mean_count_scaled", *[f"_{k}" for k in keys])
 
 
+def fit_predict_means(counts: DataFrame, keys: Sequence[str] = CELL_TIME) -> DataFrame:
+    """``predict_means`` on the rows the model is fitted to, as one window.
+
+    A key holds at most one row per week and cell, so the window's groups are
+    short; it saves the join back to the model.
+    """
+    same_key = Window.partitionBy(*keys)
+    return _with_clock(counts).withColumns(
+        {"pred": F.avg("count").over(same_key), "pred_scaled": F.avg("count_scaled").over(same_key)}
+    )
+
+
 def fit_baseline(counts: DataFrame) -> DataFrame:
     return fit_means(counts)
 

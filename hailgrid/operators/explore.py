@@ -36,7 +36,7 @@ def matrix(
     return named if fill is None else named.na.fill(fill, [f"{prefix}{v}" for v in values])
 
 
-def bin_range(df: DataFrame, value: str, n: int) -> DataFrame:
+def bin_range(df: DataFrame, value: str) -> DataFrame:
     """One row with the ends ``lo`` and ``hi`` of the value. When all values are
     equal the ends move apart by 0.1 %, as the binning needs a width."""
     ends = df.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b"))
@@ -48,7 +48,7 @@ def all_bins(df: DataFrame, value: str, n: int) -> DataFrame:
     """``n`` rows: every equal-width bin with its edges."""
     step = (F.col("hi") - F.col("lo")) / F.lit(float(n))
     return (
-        bin_range(df, value, n)
+        bin_range(df, value)
         .select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
         .select(
             "bin",
@@ -58,18 +58,18 @@ def all_bins(df: DataFrame, value: str, n: int) -> DataFrame:
     )
 
 
-def _binned(df: DataFrame, value: str, n: int, right_closed: bool) -> DataFrame:
-    ends = bin_range(df, value, n)
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+def binned(df: DataFrame, value: str, n: int, right_closed: bool = True) -> DataFrame:
+    """Rows with the index ``bin`` of the value's equal-width bin; null values are left out."""
+    ends = bin_range(df, value).select(F.struct("lo", "hi").alias("ends")).scalar()
     make = numeric.right_closed_bin if right_closed else numeric.left_closed_bin
-    with_ends = df.filter(F.col(value).isNotNull()).withColumns({"_lo": lo, "_hi": hi})
-    return with_ends.withColumn("bin", make(value, F.col("_lo"), F.col("_hi"), n)).drop("_lo", "_hi")
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_ends", ends)
+    return rows.withColumn("bin", make(value, F.col("_ends.lo"), F.col("_ends.hi"), n)).drop("_ends")
 
 
 def mean_by_bin(df: DataFrame, value: str, n: int, measure: str = "count", weight: str | None = None) -> DataFrame:
     """Mean of ``measure`` in ``n`` right-closed equal-width bins; empty bins stay, with a null mean."""
     size = F.count(measure) if weight is None else F.sum(weight)
-    means = _binned(df, value, n, right_closed=True).groupBy("bin").agg(
+    means = binned(df, value, n).groupBy("bin").agg(
         (F.sum(_weighted(measure, weight)) / size).alias("mean")
     )
     return all_bins(df, value, n).join(means, "bin", "left")
@@ -77,7 +77,7 @@ def mean_by_bin(df: DataFrame, value: str, n: int, measure: str = "count", weigh
 
 def histogram(df: DataFrame, value: str, n: int = 10) -> DataFrame:
     """Row counts in ``n`` left-closed equal-width bins, empty ones as 0."""
-    sizes = _binned(df, value, n, right_closed=False).groupBy("bin").agg(F.count("*").alias("n_rows"))
+    sizes = binned(df, value, n, right_closed=False).groupBy("bin").agg(F.count("*").alias("n_rows"))
     return all_bins(df, value, n).join(sizes, "bin", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 

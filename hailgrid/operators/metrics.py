@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hailgrid.functions.quantiles import _attach, exact_quantiles
+from hailgrid.functions.quantiles import attach, exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -62,32 +62,29 @@ def describe(
         stats = df.groupBy(*by).agg(*summary(name, prefix), array)
         named = {f"{prefix}{quantile_name(p)}": F.col("_q")[i] for i, p in enumerate(probs)}
         return stats.withColumns(named).drop("_q")
-    keys = list(by) or ["_all"]
-    source = df if by else df.withColumn("_all", F.lit(0))
-    stats = source.groupBy(*keys).agg(*summary(name, prefix))
-    ranks = exact_quantiles(source, name, probs, keys).withColumnsRenamed(
+    stats = df.groupBy(*by).agg(*summary(name, prefix))
+    ranks = exact_quantiles(df, name, probs, by).withColumnsRenamed(
         {f"q{i}": f"{prefix}{quantile_name(p)}" for i, p in enumerate(probs)}
     )
-    return _attach(stats, ranks, keys).drop("_all")
+    return attach(stats, ranks, by)
 
 
 def prediction_stats(pred: DataFrame) -> DataFrame:
     """One row: summary of count, scaled RMSE, RMSE, R2 and summary of the residual."""
-    rows = with_residual(pred).withColumn("_all", F.lit(0))
-    array = F.percentile("count", list(QUARTILES)).alias("_q")
-    stats = rows.groupBy("_all").agg(
+    rows = with_residual(pred)
+    stats = rows.agg(
         *summary("count", "count_"),
-        array,
+        F.percentile("count", list(QUARTILES)).alias("_q"),
         rmse("count_scaled", "pred_scaled").alias("rmse_scaled"),
         rmse("count", "pred").alias("rmse"),
         r2("count", "pred").alias("r2"),
         *summary("residual", "residual_"),
     )
     stats = stats.withColumns({f"count_{quantile_name(p)}": F.col("_q")[i] for i, p in enumerate(QUARTILES)})
-    ranks = exact_quantiles(rows, "residual", QUARTILES, ["_all"]).withColumnsRenamed(
+    ranks = exact_quantiles(rows, "residual", QUARTILES).withColumnsRenamed(
         {f"q{i}": f"residual_{quantile_name(p)}" for i, p in enumerate(QUARTILES)}
     )
-    return _attach(stats.drop("_q"), ranks, ["_all"]).drop("_all")
+    return attach(stats.drop("_q"), ranks, ())
 
 
 def scaling_check(pred: DataFrame) -> DataFrame:

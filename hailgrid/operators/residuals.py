@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hailgrid.functions import numeric
 from hailgrid.operators import explore, metrics
 from hailgrid.operators.baseline import HEAVY_RAIN, MODERATE_RAIN
 
@@ -77,16 +78,20 @@ def compare_sides(rows: DataFrame, flags: Sequence[str], by: Sequence[str] = (),
     )
 
 
-def by_feature(rows: DataFrame, feature: str, n_bins: int | None = None) -> DataFrame:
-    """Residual by the value of a feature, or by its equal-width bin."""
-    if n_bins is None:
-        grouped, key = rows, F.col(feature).cast("double")
-        out = grouped.groupBy(key.alias("at")).agg(
-            F.count("*").alias("n"), F.avg("residual").alias("mean_residual"), F.avg(F.abs("residual")).alias("mean_abs")
-        )
-        return out.select(F.lit(feature).alias("feature"), "at", "n", "mean_residual", "mean_abs")
-    binned = explore._binned(rows, feature, n_bins, right_closed=True)
-    stats = binned.groupBy("bin").agg(
+def by_feature(rows: DataFrame, values: Sequence[str], bins: Mapping[str, int]) -> DataFrame:
+    """Residual by the value of each feature in ``values`` and by the equal-width
+    bin of each feature in ``bins``: (feature, at, n, mean_residual, mean_abs).
+
+    The ends of the bins come from one aggregate and all features are summed in
+    one pass over the rows.
+    """
+    ranges = [F.struct(F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")).alias(f) for f in bins]
+    ends = rows.agg(F.struct(*ranges).alias("ends")).scalar() if bins else F.lit(None)
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("at")) for f in values]
+    for f, n in bins.items():
+        place = numeric.right_closed_bin(f, F.col("_ends")[f]["lo"], F.col("_ends")[f]["hi"], n)
+        pairs.append(F.struct(F.lit(f).alias("feature"), place.cast("double").alias("at")))
+    long = rows.withColumn("_ends", ends).withColumn("_pair", F.explode(F.array(*pairs)))
+    return long.groupBy("_pair.feature", "_pair.at").agg(
         F.count("*").alias("n"), F.avg("residual").alias("mean_residual"), F.avg(F.abs("residual")).alias("mean_abs")
     )
-    return stats.select(F.lit(feature).alias("feature"), F.col("bin").cast("double").alias("at"), "n", "mean_residual", "mean_abs")

@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hailgrid.session import small_side
+
 # 13 hex digits of the digest: 52 bits, exact in a double.
 _HEX_DIGITS = 13
 _SPAN = float(16**_HEX_DIGITS)
-# Exact-size sampling ranks rows inside one of this many slices of [0, 1).
+# Exact-size sampling ranks rows inside a few of this many slices of [0, 1).
 SLICES = 65_536
 
 
@@ -44,51 +46,68 @@ def mask_split(df: DataFrame, keys: Sequence[str], ratio: float = 0.5, seed: int
     return df.withColumn("split", F.when(uniform(keys, seed) < 1 - ratio, "train").otherwise("test"))
 
 
-def _ranked_slices(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per slice of [0, 1): how many rows lie in it and below it. Bounded by SLICES per group."""
-    sizes = df.groupBy(*by, "_slice").agg(F.count("*").alias("_in"))
-    upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
-    return sizes.withColumn("_below", upto - F.col("_in"))
+def _boundaries(rows: DataFrame, cuts: Sequence[int], group: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per group, for each cut the (random number, key) of the row at that rank.
+
+    A count per slice of [0, 1) tells which slice a cut falls in; only the rows
+    of that slice, a 1/SLICES share, are ranked. A cut past the group's last
+    row has no boundary.
+    """
+    sizes = rows.groupBy(*group, "_slice").agg(F.count("*").alias("_in"))
+    running = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    upto = sizes.withColumn("_upto", F.sum("_in").over(running))
+    wanted = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(int(c)).alias("rank")) for i, c in enumerate(cuts)])
+    at = (
+        upto.withColumn("_cut", F.explode(wanted))
+        .filter((F.col("_cut.rank") <= F.col("_upto")) & (F.col("_cut.rank") > F.col("_upto") - F.col("_in")))
+        .select(
+            *[F.col(g).alias(f"_k_{g}") for g in group],
+            F.col("_slice").alias("_k_slice"),
+            F.col("_cut.no").alias("_no"),
+            (F.col("_cut.rank") - F.col("_upto") + F.col("_in")).alias("_rank"),
+        )
+    )
+    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group] + [F.col("_slice") == F.col("_k_slice")]
+    inside = Window.partitionBy(*group, "_no").orderBy("_u", *keys)
+    ranked = rows.join(small_side(at), same).withColumn("_at", F.row_number().over(inside))
+    found = ranked.filter(F.col("_at") == F.col("_rank"))
+    edge = F.struct("_u", *keys)
+    return found.groupBy(*group).agg(
+        *[F.max(F.when(F.col("_no") == i, edge)).alias(f"_edge{i}") for i in range(len(cuts))]
+    )
 
 
 def split_exact(
     df: DataFrame, sizes: dict[str, int], keys: Sequence[str], rest: str = "train", by: Sequence[str] = (), seed: int = 0
 ) -> DataFrame:
     """Column ``split`` with exactly the given number of random rows per name
-    (per ``by`` group) and ``rest`` for the others.
+    (per ``by`` group) and ``rest`` for the others. ``keys`` must identify a row.
 
-    Rows are ordered by their random number. A count per slice of the number's
-    range tells which slice each boundary falls in; only the rows of those
-    slices are ranked, a 1/SLICES share each. No task orders a whole group.
+    Two narrow passes over the keys find where each part ends; the rows are then
+    labelled in place by comparing with those ends, so no task orders a whole
+    group and the full rows are not shuffled.
     """
     group = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
     rows = rows.withColumn("_u", uniform(keys, seed)).withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
-    edges, at = [], 0
-    for name, n in sizes.items():
-        edges.append((name, at, at + n))
-        at += n
-    cuts = [end for _, _, end in edges]
-
-    table = _ranked_slices(rows, group).withColumnsRenamed({c: f"_k_{c}" for c in (*group, "_slice")})
-    straddles = F.lit(False)
-    for cut in cuts:
-        straddles = straddles | ((F.col("_below") < cut) & (F.col("_below") + F.col("_in") > cut))
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*group, "_slice")]
-    placed = rows.join(table, same).withColumn("_cut", straddles)
-
-    def label(position: Column) -> Column:
-        out = None
-        for name, start, end in edges:
-            hit = (position >= start) & (position < end)
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-        return out.otherwise(rest)
-
-    inside = Window.partitionBy(*group, "_slice").orderBy("_u", *keys)
-    whole = placed.filter(~F.col("_cut")).withColumn("split", label(F.col("_below")))
-    ranked = placed.filter("_cut").withColumn("split", label(F.col("_below") + F.row_number().over(inside) - 1))
-    extra = ["_u", "_slice", "_in", "_below", "_cut", "_all", *[f"_k_{c}" for c in (*group, "_slice")]]
-    return whole.unionByName(ranked).drop(*extra)
+    names, cuts = list(sizes), []
+    for name in names:
+        cuts.append((cuts[-1] if cuts else 0) + int(sizes[name]))
+
+    narrow = rows.select(*dict.fromkeys([*group, *keys, "_u", "_slice"]))
+    edges = small_side(_boundaries(narrow, cuts, group, keys)).withColumnsRenamed({g: f"_k_{g}" for g in group})
+    me = F.struct("_u", *keys)
+    label = None
+    for i, (name, size) in enumerate(sizes.items()):
+        if size <= 0:
+            continue
+        # no boundary: the group ends before the cut, so every row is inside
+        inside = F.coalesce(me <= F.col(f"_edge{i}"), F.lit(True))
+        label = F.when(inside, name) if label is None else label.when(inside, name)
+    split = F.lit(rest) if label is None else label.otherwise(rest)
+    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group]
+    extra = ["_u", "_slice", "_all", *[f"_k_{g}" for g in group], *[f"_edge{i}" for i in range(len(names))]]
+    return rows.join(edges, same, "left").withColumn("split", split).drop(*extra)
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], by: Sequence[str] = (), seed: int = 0) -> DataFrame:

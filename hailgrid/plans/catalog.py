@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from hailgrid.functions.numeric import r6
 from hailgrid.operators import baseline, counts, explore, forest, joins, metrics, residuals, similarity, splits
 from hailgrid.operators import weather, zipcodes
 from hailgrid.plans import workflows
+from hailgrid.session import shared_folder
 from hailgrid.sources import sinks
 from hailgrid.sources.tables import Tables
 
@@ -299,13 +300,13 @@ def rides_weather_left(t: Tables) -> DataFrame:
 
 @query
 def rides_without_weather(t: Tables) -> DataFrame:
-    lost = joins.rides_without_weather(counts.clean_rides(t.rides()), weather.clean_metar(t.metar()))
+    lost = joins.rides_without_weather(counts.clean_rides(t.rides()), weather.weather_records(t.metar()))
     return lost.select("ride_id", "pickup_datetime")
 
 
 @query
 def weather_join_audit(t: Tables) -> DataFrame:
-    return joins.audit_dropped(counts.cell_hour_counts(t.rides()), weather.clean_metar(t.metar()))
+    return joins.audit_dropped(counts.cell_hour_counts(t.rides()), weather.weather_records(t.metar()))
 
 
 def _weighted_join(t: Tables) -> DataFrame:
@@ -451,12 +452,8 @@ def residual_histogram(t: Tables) -> DataFrame:
 @query
 def residual_by_feature(t: Tables) -> DataFrame:
     rows = joins.join_rides_metar(workflows.fit_transform(t.rides()), weather.clean_metar(t.metar(), dedupe=True))
-    parts = [residuals.by_feature(rows, f) for f in ("count", "weekday", "hour")]
-    parts += [residuals.by_feature(rows, "fahrenheit", 10), residuals.by_feature(rows, "precip_in", 10)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _rounded(out, "mean_residual", "mean_abs")
+    stats = residuals.by_feature(rows, ["count", "weekday", "hour"], {"fahrenheit": 10, "precip_in": 10})
+    return _rounded(stats, "mean_residual", "mean_abs")
 
 
 @query
@@ -509,8 +506,7 @@ def dist_to_center(t: Tables) -> DataFrame:
 
 
 def _clusters(t: Tables) -> DataFrame:
-    vectors = similarity.period_vectors(workflows.dense_periods(t.rides(), PERIOD))
-    scored = similarity.dist_to_center(vectors, similarity.fit_clusters(vectors))
+    scored = workflows.cluster_periods(t.rides(), PERIOD)
     first = scored.agg(F.min_by("prediction", "period")).scalar()
     return scored.withColumn("cluster", (F.col("prediction") != first).cast("int"))
 
@@ -628,18 +624,10 @@ def rf_reload_score(t: Tables) -> DataFrame:
     early, late = _time_split(t.rides())
     train = workflows.joined_features(early, t.metar())
     model, _ = forest.fit_once(train, train, "1", weight="n_records")
-    folder = _scratch(t.spark)
+    folder = f"{shared_folder(t.spark)}/forest-{uuid.uuid4().hex}"
     sinks.save_model(model, folder)
     scored = forest.score_saved(sinks.load_model(folder), workflows.joined_features(late, t.metar()))
     return scored.select(
         "pickup_datetime", "grid_x", "grid_y", "fahrenheit", "precip_in", "weekday", "hour",
         "count_scaled", "prediction", "residual",
     )
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new folder path under the shared checkpoint folder, or a temporary one in local tests."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/model-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from hailgrid.functions.grid import NYC, GridSpec
 from hailgrid.operators import baseline, counts, explore, residuals, similarity, weather, zipcodes
 from hailgrid.operators.joins import join_rides_metar
 from hailgrid.operators.metrics import with_residual
+from hailgrid.session import materialize
 
 Period = Callable[[str], Column]
 
@@ -25,8 +26,7 @@ def fit_transform(rides: DataFrame, grid: GridSpec = NYC, period: Period | None
     """Fit the baseline and predict the same rows; per period when one is given."""
     counted = counts.count_rides(rides, grid, period)
     keys = (*(("period",) if period else ()), *baseline.CELL_TIME)
-    model = baseline.fit_means(counted, keys)
-    return with_residual(baseline.predict_means(counted, model, keys))
+    return with_residual(baseline.fit_predict_means(counted, keys))
 
 
 def fit_transform_adjusted(rides: DataFrame, hourly: DataFrame, grid: GridSpec = NYC) -> DataFrame:
@@ -96,7 +96,7 @@ def residuals_by_area(rides: DataFrame, period: Period = clock.month_floor) -> D
     )
     scaled = counts.scale_counts(counted, ["period", "high_demand"])
     keys = ("period", "high_demand", *baseline.CELL_TIME)
-    return with_residual(baseline.predict_means(scaled, baseline.fit_means(scaled, keys), keys))
+    return with_residual(baseline.fit_predict_means(scaled, keys))
 
 
 def label_rides(rides: DataFrame, centroids: DataFrame, radius_km: float) -> DataFrame:
@@ -138,6 +138,12 @@ def dist_matrix(rides: DataFrame, period: Period = clock.month_floor, grid: Grid
     return similarity.period_distances(dense_periods(rides, period, grid))
 
 
+def cluster_periods(rides: DataFrame, period: Period = clock.month_floor, k: int = 2, grid: GridSpec = NYC) -> DataFrame:
+    """Each period's cluster and its distance to the cluster's centre."""
+    vectors = materialize(similarity.period_vectors(dense_periods(rides, period, grid)))
+    return similarity.dist_to_center(vectors, similarity.fit_clusters(vectors, k))
+
+
 def joined_features(rides: DataFrame, metar: DataFrame, period: Period | None = None) -> DataFrame:
     """Model input: scaled cell-hour counts with weather, weekday and hour; equal
     weather rows folded into ``n_records``."""

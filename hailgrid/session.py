@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the engine expects from a cluster session. Joins carry no broadcast
 # hints: Spark broadcasts a side only when its size is under the threshold and
@@ -32,16 +34,36 @@ def local_session(app: str = "hailgrid", cores: str = "*", shuffle_partitions: i
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; local
+    sessions without the setting get a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return shared.rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that work read many
-    times (cross-validation) survives a lost executor without a new scan."""
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts lineage for work that reads a result many times (cross-validation), so
+    that losing an executor does not mean scanning the source again. Parquet
+    keeps later reads columnar and lets Spark see the table's size.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/hailgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# Rows up to which a computed lookup table is handed to every task.
+SMALL_ROWS = 10_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Compute a lookup table once and check its size: up to ``max_rows`` rows it
+    is broadcast when joined, a larger one is joined by shuffle."""
+    table = materialize(df)
+    return F.broadcast(table) if table.count() <= max_rows else table
