@@ -38,9 +38,13 @@ class GridSpec:
         return (self.north - self.south) / self.ny
 
     def contains(self, lat: Column | str, lon: Column | str) -> Column:
-        """Inclusive box test; null coordinates are outside."""
-        inside = _as_col(lat).between(self.south, self.north) & _as_col(lon).between(self.west, self.east)
-        return F.coalesce(inside, F.lit(False))
+        """Inclusive box test, as plain comparisons that a Parquet scan can use. A
+        null coordinate gives null, which a filter treats as outside."""
+        return _as_col(lat).between(self.south, self.north) & _as_col(lon).between(self.west, self.east)
+
+    def in_box(self, lat: Column | str, lon: Column | str) -> Column:
+        """The box test as a flag that is never null."""
+        return F.coalesce(self.contains(lat, lon), F.lit(False))
 
     def x(self, lon: Column | str, clamp: bool = False) -> Column:
         cell = ((_as_col(lon) - F.lit(self.west)) / F.lit(self.dx)).cast("int")

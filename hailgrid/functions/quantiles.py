@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     return picked.select(*keys, *out)
 
 
-def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Put the per-group row of ``right`` beside every row of ``left``.
 
     Without keys ``right`` is a single row and comes in as a scalar subquery, so
@@ -98,4 +98,4 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
         return left.withColumn("_row", row).select(*left.columns, "_row.*")
     renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return left.join(renamed, same).drop(*[f"_k_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_k_{k}" for k in keys])

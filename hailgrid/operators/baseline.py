@@ -37,7 +37,9 @@ def fit_means(counts: DataFrame, keys: Sequence[str] = CELL_TIME, weight: str |
 def predict_means(counts: DataFrame, model: DataFrame, keys: Sequence[str] = CELL_TIME) -> DataFrame:
     """Counts with ``pred`` and ``pred_scaled``; a key the model never saw predicts 0."""
     renamed = model.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    # Null-safe equality adds no null filters to the model's side, whose counts
+    # then stay the same plan as their own maximum and share its shuffle.
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     joined = _with_clock(counts).join(renamed, same, "left")
     return joined.withColumns(
         {

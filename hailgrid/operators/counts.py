@@ -26,9 +26,17 @@ def drop_minutes(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, clock.hour_floor(name))
 
 
-def get_counts(gridded: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def get_counts(gridded: DataFrame) -> DataFrame:
     """Rides per (hour, cell). A busy cell or hour is summed before the shuffle."""
-    return gridded.groupBy("pickup_datetime", "grid_x", "grid_y", *extra).count()
+    return _count_by(gridded, ["pickup_datetime", "grid_x", "grid_y"])
+
+
+def _count_by(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key. Rows with a null key are in no group; stating it here keeps
+    the plan equal wherever the counts are used, so that their shuffle is shared."""
+    for key in keys:
+        rows = rows.filter(F.col(key).isNotNull())
+    return rows.groupBy(*keys).count()
 
 
 def cell_hour_counts(rides: DataFrame, grid: GridSpec = NYC, clamp: bool = False) -> DataFrame:
@@ -40,7 +48,7 @@ def cell_hour_counts(rides: DataFrame, grid: GridSpec = NYC, clamp: bool = False
 def counts_by_grid_cell(rides: DataFrame, grid: GridSpec = NYC, by: Sequence[str] = ()) -> DataFrame:
     """Rides per cell (and per ``by``), over all hours."""
     gridded = rides.transform(clean_rides, grid).transform(add_grid_cols, grid)
-    return gridded.groupBy(*by, "grid_x", "grid_y").count()
+    return _count_by(gridded, [*by, "grid_x", "grid_y"])
 
 
 def scale_counts(counts: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hailgrid.functions import numeric
@@ -36,49 +36,58 @@ def matrix(
     return named if fill is None else named.na.fill(fill, [f"{prefix}{v}" for v in values])
 
 
-def bin_range(df: DataFrame, value: str) -> DataFrame:
-    """One row with the ends ``lo`` and ``hi`` of the value. When all values are
-    equal the ends move apart by 0.1 %, as the binning needs a width."""
-    ends = df.agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b"))
-    pad = F.when(F.col("a") == F.col("b"), F.when(F.col("a") != 0, 0.001 * F.abs("a")).otherwise(0.001)).otherwise(0.0)
-    return ends.select((F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"))
+def value_ends(df: DataFrame, value: str, *also: Column) -> Column:
+    """Scalar struct with the ends ``lo`` and ``hi`` of a column. When all values
+    are equal the ends move apart by 0.1 %, as binning needs a width.
 
+    ``also`` are further aggregates to carry along: naming the columns that the
+    binned rows use keeps both plans alike, so that they share one shuffle.
+    """
+    low, high = F.min(value).cast("double"), F.max(value).cast("double")
+    pad = F.when(low == high, F.when(low != 0, 0.001 * F.abs(low)).otherwise(0.001)).otherwise(0.0)
+    extra = [c.alias(f"_{i}") for i, c in enumerate(also)]
+    return df.agg(F.struct((low - pad).alias("lo"), (high + pad).alias("hi"), *extra).alias("ends")).scalar()
 
-def all_bins(df: DataFrame, value: str, n: int) -> DataFrame:
+
+def all_bins(spark: SparkSession, ends: Column, n: int) -> DataFrame:
     """``n`` rows: every equal-width bin with its edges."""
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(n))
-    return (
-        bin_range(df, value)
-        .select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
-        .select(
-            "bin",
-            (F.col("lo") + F.col("bin") * step).alias("bin_low"),
-            (F.col("lo") + (F.col("bin") + 1) * step).alias("bin_high"),
-        )
+    step = (F.col("_ends.hi") - F.col("_ends.lo")) / F.lit(float(n))
+    bins = spark.range(n).select(F.col("id").cast("int").alias("bin")).withColumn("_ends", ends)
+    return bins.select(
+        "bin",
+        (F.col("_ends.lo") + F.col("bin") * step).alias("bin_low"),
+        (F.col("_ends.lo") + (F.col("bin") + 1) * step).alias("bin_high"),
     )
 
 
-def binned(df: DataFrame, value: str, n: int, right_closed: bool = True) -> DataFrame:
-    """Rows with the index ``bin`` of the value's equal-width bin; null values are left out."""
-    ends = bin_range(df, value).select(F.struct("lo", "hi").alias("ends")).scalar()
-    make = numeric.right_closed_bin if right_closed else numeric.left_closed_bin
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_ends", ends)
-    return rows.withColumn("bin", make(value, F.col("_ends.lo"), F.col("_ends.hi"), n)).drop("_ends")
-
-
 def mean_by_bin(df: DataFrame, value: str, n: int, measure: str = "count", weight: str | None = None) -> DataFrame:
-    """Mean of ``measure`` in ``n`` right-closed equal-width bins; empty bins stay, with a null mean."""
-    size = F.count(measure) if weight is None else F.sum(weight)
-    means = binned(df, value, n).groupBy("bin").agg(
-        (F.sum(_weighted(measure, weight)) / size).alias("mean")
+    """Mean of ``measure`` in ``n`` right-closed equal-width bins; empty bins stay, with a null mean.
+
+    Rows are first summed per distinct value, so the ends and the bins come out
+    of one pass over the source.
+    """
+    size = F.count(measure) if weight is None else F.sum(F.when(F.col(measure).isNotNull(), F.col(weight)))
+    per_value = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(value)
+        .agg(F.sum(_weighted(measure, weight)).alias("_total"), size.alias("_size"))
+    )
+    ends = value_ends(per_value, value, F.sum("_total"), F.sum("_size"))
+    place = numeric.right_closed_bin(value, F.col("_ends.lo"), F.col("_ends.hi"), n)
+    means = per_value.withColumn("_ends", ends).groupBy(place.alias("bin")).agg(
+        (F.sum("_total") / F.sum("_size")).alias("mean")
     )
-    return all_bins(df, value, n).join(means, "bin", "left")
+    return all_bins(df.sparkSession, ends, n).join(means, "bin", "left")
 
 
 def histogram(df: DataFrame, value: str, n: int = 10) -> DataFrame:
     """Row counts in ``n`` left-closed equal-width bins, empty ones as 0."""
-    sizes = binned(df, value, n, right_closed=False).groupBy("bin").agg(F.count("*").alias("n_rows"))
-    return all_bins(df, value, n).join(sizes, "bin", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    rows = df.filter(F.col(value).isNotNull())
+    ends = value_ends(rows, value)
+    place = numeric.left_closed_bin(value, F.col("_ends.lo"), F.col("_ends.hi"), n)
+    sizes = rows.withColumn("_ends", ends).groupBy(place.alias("bin")).agg(F.count("*").alias("n_rows"))
+    bins = all_bins(df.sparkSession, ends, n).join(sizes, "bin", "left")
+    return bins.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 def mean_hourly_max(counts: DataFrame, since: str) -> DataFrame:

@@ -86,7 +86,8 @@ def by_feature(rows: DataFrame, values: Sequence[str], bins: Mapping[str, int])
     one pass over the rows.
     """
     ranges = [F.struct(F.min(f).cast("double").alias("lo"), F.max(f).cast("double").alias("hi")).alias(f) for f in bins]
-    ends = rows.agg(F.struct(*ranges).alias("ends")).scalar() if bins else F.lit(None)
+    # the residual's sum rides along so that this aggregate reads the same shuffle as the rows
+    ends = rows.agg(F.struct(*ranges, F.sum("residual").alias("_sum")).alias("ends")).scalar()
     pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("at")) for f in values]
     for f, n in bins.items():
         place = numeric.right_closed_bin(f, F.col("_ends")[f]["lo"], F.col("_ends")[f]["hi"], n)

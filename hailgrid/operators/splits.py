@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hailgrid.functions.quantiles import attach
 from hailgrid.session import small_side
 
 # 13 hex digits of the digest: 52 bits, exact in a double.
@@ -87,15 +88,14 @@ def split_exact(
     labelled in place by comparing with those ends, so no task orders a whole
     group and the full rows are not shuffled.
     """
-    group = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(0))
-    rows = rows.withColumn("_u", uniform(keys, seed)).withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
+    group = list(by)
+    rows = df.withColumn("_u", uniform(keys, seed)).withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
     names, cuts = list(sizes), []
     for name in names:
         cuts.append((cuts[-1] if cuts else 0) + int(sizes[name]))
 
     narrow = rows.select(*dict.fromkeys([*group, *keys, "_u", "_slice"]))
-    edges = small_side(_boundaries(narrow, cuts, group, keys)).withColumnsRenamed({g: f"_k_{g}" for g in group})
+    edges = small_side(_boundaries(narrow, cuts, group, keys))
     me = F.struct("_u", *keys)
     label = None
     for i, (name, size) in enumerate(sizes.items()):
@@ -105,9 +105,8 @@ def split_exact(
         inside = F.coalesce(me <= F.col(f"_edge{i}"), F.lit(True))
         label = F.when(inside, name) if label is None else label.when(inside, name)
     split = F.lit(rest) if label is None else label.otherwise(rest)
-    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group]
-    extra = ["_u", "_slice", "_all", *[f"_k_{g}" for g in group], *[f"_edge{i}" for i in range(len(names))]]
-    return rows.join(edges, same, "left").withColumn("split", split).drop(*extra)
+    extra = ["_u", "_slice", *[f"_edge{i}" for i in range(len(names))]]
+    return attach(rows, edges, group, "left").withColumn("split", split).drop(*extra)
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], by: Sequence[str] = (), seed: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hailgrid.functions import clock, numeric
@@ -24,17 +24,23 @@ def clean_precip(metar: DataFrame, match: str = "whole") -> DataFrame:
 
 
 def nearest_precip(metar: DataFrame, match: str = "whole") -> DataFrame:
-    """One precipitation record an hour: the reading nearest the routine minute.
+    """One precipitation record an hour: the reading nearest the routine minute."""
+    return one_per_hour(metar, match).filter(F.col("precip_in").isNotNull()).select("datetime", "precip_in")
 
-    A minimum over a struct, so a crowded hour is reduced before the shuffle
-    and no task sorts it.
+
+def one_per_hour(metar: DataFrame, match: str = "whole") -> DataFrame:
+    """Per hour the mean temperature and the precipitation reading nearest the
+    routine minute, either null if the hour has none.
+
+    The nearest reading is a minimum over a struct, so a crowded hour is reduced
+    before the shuffle and no task sorts it.
     """
-    rows = filter_numerical(metar.select("datetime", "precip_in"), "precip_in", match)
-    best = F.min(
-        F.struct(F.abs(F.minute("datetime") - ROUTINE_MINUTE).alias("off"), F.col("datetime"), F.col("precip_in"))
-    )
-    hours = rows.groupBy(clock.hour_floor("datetime").alias("hour")).agg(best.alias("best"))
-    return hours.select(F.col("hour").alias("datetime"), F.col("best.precip_in").alias("precip_in"))
+    amount = numeric.parse_numeric("precip_in", match)
+    off = F.abs(F.minute("datetime") - ROUTINE_MINUTE)
+    nearest = F.min(F.when(amount.isNotNull(), F.struct(off.alias("off"), F.col("datetime"), amount.alias("precip_in"))))
+    return metar.groupBy(clock.hour_floor("datetime").alias("hour")).agg(
+        F.avg(numeric.parse_numeric("fahrenheit", match)).alias("fahrenheit"), nearest.alias("_nearest")
+    ).select(F.col("hour").alias("datetime"), "fahrenheit", F.col("_nearest.precip_in").alias("precip_in"))
 
 
 def clean_temperature(metar: DataFrame, match: str = "whole") -> DataFrame:
@@ -44,9 +50,18 @@ def clean_temperature(metar: DataFrame, match: str = "whole") -> DataFrame:
 
 
 def clean_metar(metar: DataFrame, dedupe: bool = False, how: str = "inner", match: str = "whole") -> DataFrame:
-    """Hourly weather: one row per precipitation record with the hour's mean temperature."""
-    precip = nearest_precip(metar, match) if dedupe else clean_precip(metar, match)
-    return clean_temperature(metar, match).join(precip, "datetime", how)
+    """Hourly weather: one row per precipitation record with the hour's mean temperature.
+
+    ``dedupe`` gives one row per hour instead. ``how`` is ``inner`` or ``full``.
+    """
+    if how not in ("inner", "full"):
+        raise ValueError("how must be 'inner' or 'full'")
+    if dedupe:
+        hours = one_per_hour(metar, match)
+        if how == "inner":
+            return hours.filter(F.col("fahrenheit").isNotNull() & F.col("precip_in").isNotNull())
+        return hours.filter(F.col("fahrenheit").isNotNull() | F.col("precip_in").isNotNull())
+    return clean_temperature(metar, match).join(clean_precip(metar, match), "datetime", how)
 
 
 def weather_records(metar: DataFrame, match: str = "whole") -> DataFrame:
@@ -54,11 +69,23 @@ def weather_records(metar: DataFrame, match: str = "whole") -> DataFrame:
 
     Sums and means over the ride-weather join weight by ``n_records``. Its size
     follows the hours and distinct readings, not the number of observations, so
-    an hour with very many records stays small.
+    an hour with very many records stays small. Both sides of the join come out
+    of one scan: readings are summed per (hour, routine reading or none), and
+    the hour's temperature is then a window over those few rows.
     """
-    precip = clean_precip(metar, match).groupBy("datetime", "precip_in").agg(F.count("*").alias("n_records"))
-    joined = clean_temperature(metar, match).join(precip, "datetime")
-    return joined.select("datetime", "fahrenheit", "precip_in", "n_records")
+    routine = F.when(F.minute("datetime") == ROUTINE_MINUTE, numeric.parse_numeric("precip_in", match))
+    degrees = numeric.parse_numeric("fahrenheit", match)
+    readings = (
+        metar.select(clock.hour_floor("datetime").alias("datetime"), routine.alias("precip_in"), degrees.alias("_f"))
+        .groupBy("datetime", "precip_in")
+        .agg(F.count("*").alias("n_records"), F.sum("_f").alias("_sum"), F.count("_f").alias("_n"))
+    )
+    hour = Window.partitionBy("datetime")
+    mean = F.sum("_sum").over(hour) / F.nullif(F.sum("_n").over(hour), F.lit(0))
+    rows = readings.withColumn("fahrenheit", mean).filter(
+        F.col("precip_in").isNotNull() & F.col("fahrenheit").isNotNull() & F.col("datetime").isNotNull()
+    )
+    return rows.select("datetime", "fahrenheit", "precip_in", "n_records")
 
 
 def completeness(metar: DataFrame) -> DataFrame:
