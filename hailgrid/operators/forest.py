@@ -65,6 +65,17 @@ def param_grid(pipeline: Pipeline, grid: Mapping[str, Sequence[int]]) -> list:
     return builder.build()
 
 
+def model_table(joined: DataFrame, keys: Sequence[str] = ROW_KEY) -> DataFrame:
+    """The joined rows written once, evenly spread and in a fixed order.
+
+    Fitting reads its input many times and must not go back to the rides. It is
+    bound by processor time, so small tables are spread over all cores too, and
+    a fixed order makes a seeded fit repeatable.
+    """
+    cores = joined.sparkSession.sparkContext.defaultParallelism
+    return materialize(joined.repartition(cores, *keys).sortWithinPartitions(*keys))
+
+
 @dataclass
 class ForestResult:
     model: CrossValidatorModel
@@ -113,13 +124,8 @@ def rf_pipeline(
     keys: Sequence[str] = ROW_KEY,
     seed: int = 1,
 ) -> ForestResult:
-    """Thirds for train, dev and test; search on train, score on test.
-
-    The joined table is written to the checkpoint folder first: the search
-    reads it once per fold and parameter set and must not go back to the rides.
-    """
-    parts = splits.weighted_split(joined, {"train": 1, "dev": 1, "test": 1}, keys, seed)
-    parts = materialize(parts)
+    """Thirds for train, dev and test; search on train, score on test."""
+    parts = model_table(splits.weighted_split(joined, {"train": 1, "dev": 1, "test": 1}, keys, seed), keys)
     train = parts.filter(F.col("split") == "train").drop("split")
     test = parts.filter(F.col("split") == "test").drop("split")
     return cross_validate(train, test, model_type, grid, num_folds, label, weight, seed)
@@ -138,8 +144,8 @@ def rf_period_split(
 ) -> ForestResult:
     """Train on the early period; the late one is halved into dev and test."""
     parts = splits.weighted_split(late, {"dev": 1, "test": 1}, keys, seed)
-    test = materialize(parts.filter(F.col("split") == "test").drop("split"))
-    return cross_validate(materialize(early), test, model_type, grid, num_folds, label, weight, seed)
+    test = model_table(parts.filter(F.col("split") == "test").drop("split"), keys)
+    return cross_validate(model_table(early, keys), test, model_type, grid, num_folds, label, weight, seed)
 
 
 def fit_once(
@@ -152,7 +158,8 @@ def fit_once(
     max_depth: int = 5,
     seed: int = 1,
 ) -> tuple[PipelineModel, DataFrame]:
-    """A single fit without a search."""
+    """A single fit without a search. ``train`` is read several times: pass a
+    ``model_table``, or rows that are cheap to read again."""
     pipeline = build_pipeline(model_type, label, weight, seed, numTrees=num_trees, maxDepth=max_depth)
     model = pipeline.fit(train)
     return model, model.transform(test)

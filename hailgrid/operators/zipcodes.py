@@ -2,9 +2,9 @@
 
 Both sides are put into square buckets one radius wide, so that any centroid
 within the radius of a point lies in the point's bucket or one of its eight
-neighbours; a candidate search is then an equi-join. Distances are rounded to
-a millimetre and ties go to the smaller ZIP, so labels do not depend on the
-order of arithmetic.
+neighbours; a candidate search is then an equi-join on the bucket. Distances are
+compared in whole millimetres and ties go to the smaller ZIP, so labels do not
+depend on the order of arithmetic.
 """
 
 from __future__ import annotations
@@ -17,17 +17,14 @@ from pyspark.sql import functions as F
 # Mean Earth radius, and the label of a ride without a ZIP.
 EARTH_KM = 6371.0
 MISSING = "missing"
+_MM_PER_KM = 1e6
 
-# A centroid index up to this many entries is small enough to send to every
-# task; a larger table takes the shuffled path. US ZIP codes number about 41,000.
-MAX_INDEXED_CENTROIDS = 50_000
 
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def haversine_mm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.round(2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))), 6)
+    return F.floor(2 * EARTH_KM * _MM_PER_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a))) + 0.5)
 
 
 def _distinct_places(centroids: DataFrame) -> DataFrame:
@@ -61,57 +58,35 @@ def label_zip(
     radius_km: float,
     lat: str = "pickup_latitude",
     lon: str = "pickup_longitude",
-    max_indexed: int = MAX_INDEXED_CENTROIDS,
 ) -> DataFrame:
     """Rides with ``zip``: the nearest centroid within the radius, else 'missing'.
 
-    One small job counts the distinct centroids. Up to ``max_indexed`` of them
-    the bucket index is broadcast and rides are labelled where they are, without
-    a shuffle; beyond it, distinct ride locations are joined to the index
-    by bucket and the labels joined back.
+    Rides at one location share a label, so each distinct location is searched
+    once: a position with very many rides, such as a broken receiver's (0, 0),
+    is one row before it meets the candidates. Candidates of a location are
+    reduced by a minimum, not collected. One small job over the centroids reads
+    how far from the equator they lie, which sets the buckets' width.
     """
     places = _distinct_places(centroids)
-    size = places.agg(F.count("*").alias("n"), F.max(F.abs("lat")).alias("reach")).first()
-    if size["n"] == 0:
+    reach = places.agg(F.max(F.abs("lat"))).first()[0]
+    if reach is None:
         return rides.withColumn("zip", F.lit(MISSING))
-    height, width = _bucket_sizes(size["reach"], radius_km)
-    index = _neighbours(places, height, width)
-    keyed = {"_pi": F.floor(F.col(lat) / height), "_pj": F.floor(F.col(lon) / width)}
-    if size["n"] <= max_indexed:
-        return _label_in_place(rides, index, radius_km, lat, lon, keyed)
-    return _label_by_location(rides, index, radius_km, lat, lon, keyed)
-
-
-def _label_in_place(rides, index, radius_km, lat, lon, keyed) -> DataFrame:
-    lists = index.groupBy("_bi", "_bj").agg(F.collect_list(F.struct("_zip", "_lat", "_lon")).alias("_near"))
-    joined = rides.withColumns(keyed).join(
-        F.broadcast(lists), (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj")), "left"
-    )
-    scored = F.transform(
-        "_near",
-        lambda c: F.struct(
-            haversine_km(F.col(lat), F.col(lon), c["_lat"], c["_lon"]).alias("km"), c["_zip"].alias("zip")
-        ),
-    )
-    best = F.array_min(F.filter(scored, lambda s: s["km"] <= radius_km))
-    return joined.withColumn("zip", F.coalesce(best["zip"], F.lit(MISSING))).drop(
-        "_near", "_pi", "_pj", "_bi", "_bj"
-    )
-
-
-def _label_by_location(rides, index, radius_km, lat, lon, keyed) -> DataFrame:
-    # Rides at one location share a label: a location with very many rides is
-    # reduced to one row before it meets the candidates.
-    spots = rides.select(lat, lon).distinct()
-    near = spots.withColumns(keyed).join(
-        index, (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj"))
+    height, width = _bucket_sizes(reach, radius_km)
+    near = (
+        rides.filter(F.col(lat).between(-90, 90) & F.col(lon).isNotNull())
+        .select(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"))
+        .distinct()
+        .withColumns({"_pi": F.floor(F.col("_slat") / height), "_pj": F.floor(F.col("_slon") / width)})
+        .join(
+            _neighbours(places, height, width), (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj"))
+        )
     )
-    km = haversine_km(F.col(lat), F.col(lon), F.col("_lat"), F.col("_lon"))
+    mm = haversine_mm(F.col("_slat"), F.col("_slon"), F.col("_lat"), F.col("_lon"))
     labels = (
-        near.withColumn("_km", km)
-        .filter(F.col("_km") <= radius_km)
-        .groupBy(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"))
-        .agg(F.min(F.struct("_km", "_zip"))["_zip"].alias("_label"))
+        near.select("_slat", "_slon", mm.alias("_mm"), "_zip")
+        .filter(F.col("_mm") <= round(radius_km * _MM_PER_KM))
+        .groupBy("_slat", "_slon")
+        .agg(F.min(F.struct("_mm", "_zip"))["_zip"].alias("_label"))
     )
     joined = rides.join(labels, (F.col(lat) == F.col("_slat")) & (F.col(lon) == F.col("_slon")), "left")
     return joined.withColumn("zip", F.coalesce("_label", F.lit(MISSING))).drop("_slat", "_slon", "_label")

@@ -602,7 +602,7 @@ def rf_type3(t: Tables) -> DataFrame:
 @query
 def rf_single_fit(t: Tables) -> DataFrame:
     """One fit without a search, on the plain count: error and R2 per split."""
-    halves = splits.mask_split(_features(t), forest.ROW_KEY, 0.5, seed=1)
+    halves = forest.model_table(splits.mask_split(_features(t), forest.ROW_KEY, 0.5, seed=1))
     train, test = (halves.filter(F.col("split") == s) for s in ("train", "test"))
     model, _ = forest.fit_once(train, test, "3", label="count", weight="n_records")
     return model.transform(halves).groupBy("split").agg(
@@ -622,7 +622,7 @@ def rf_period_split(t: Tables) -> DataFrame:
 def rf_reload_score(t: Tables) -> DataFrame:
     """Fit on the early weeks, save, load, and score the late weeks."""
     early, late = _time_split(t.rides())
-    train = workflows.joined_features(early, t.metar())
+    train = forest.model_table(workflows.joined_features(early, t.metar()))
     model, _ = forest.fit_once(train, train, "1", weight="n_records")
     folder = f"{shared_folder(t.spark)}/forest-{uuid.uuid4().hex}"
     sinks.save_model(model, folder)

@@ -107,10 +107,13 @@ def label_rides(rides: DataFrame, centroids: DataFrame, radius_km: float) -> Dat
 def zip_demand(rides: DataFrame, metar: DataFrame, centroids: DataFrame, radius_km: float) -> DataFrame:
     """Rides per (hour, weekday, ZIP, temperature bucket, precipitation bucket).
 
-    Rides are summed per hour and ZIP before they meet the weather.
+    Rides are summed per hour and location before they are labelled, and per
+    hour and ZIP before they meet the weather.
     """
-    labelled = label_rides(rides, centroids, radius_km)
-    hourly = labelled.groupBy(clock.hour_floor("pickup_datetime").alias("pickup_datetime"), "zip").count()
+    where = ["pickup_datetime", "pickup_latitude", "pickup_longitude"]
+    spots = rides.withColumn("pickup_datetime", clock.hour_floor("pickup_datetime")).groupBy(*where).count()
+    labelled = label_rides(spots, centroids, radius_km)
+    hourly = labelled.groupBy("pickup_datetime", "zip").agg(F.sum("count").alias("count"))
     records = weather.weather_records(metar).select(
         "datetime",
         numeric.bucket_fahrenheit("fahrenheit").alias("temperature"),
