@@ -11,14 +11,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hailgrid.session import small_side
+
 # Mean Earth radius, and the label of a ride without a ZIP.
 EARTH_KM = 6371.0
 MISSING = "missing"
 _MM_PER_KM = 1e6
 
+# Distinct centroids up to which their numbering runs as one sort, and up to
+# which the bucket index (nine rows each) is handed to every task. Larger tables
+# take the general form of each step. US ZIP codes number about 41,000.
+MAX_NUMBERED = 1 << 20
+MAX_BROADCAST = 50_000
+
 
 def haversine_mm(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
@@ -46,7 +54,7 @@ def _neighbours(places: DataFrame, height: float, width: float) -> DataFrame:
     return rows.select(
         (F.floor(F.col("lat") / height) + F.col("_di")).alias("_bi"),
         (F.floor(F.col("lon") / width) + F.col("_dj")).alias("_bj"),
-        F.col("zip").alias("_zip"),
+        F.col("_no") if "_no" in places.columns else F.col("zip").alias("_zip"),
         F.col("lat").alias("_lat"),
         F.col("lon").alias("_lon"),
     )
@@ -58,36 +66,47 @@ def label_zip(
     radius_km: float,
     lat: str = "pickup_latitude",
     lon: str = "pickup_longitude",
+    max_numbered: int = MAX_NUMBERED,
+    max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """Rides with ``zip``: the nearest centroid within the radius, else 'missing'.
 
     Rides at one location share a label, so each distinct location is searched
     once: a position with very many rides, such as a broken receiver's (0, 0),
-    is one row before it meets the candidates. Candidates of a location are
-    reduced by a minimum, not collected. One small job over the centroids reads
-    how far from the equator they lie, which sets the buckets' width.
+    is one row before it meets the candidates. One small job over the centroids
+    counts them and reads how far from the equator they lie, which sets the
+    buckets' width.
     """
     places = _distinct_places(centroids)
-    reach = places.agg(F.max(F.abs("lat"))).first()[0]
-    if reach is None:
+    size = places.agg(F.count("*").alias("n"), F.max(F.abs("lat")).alias("reach")).first()
+    if size["n"] == 0:
         return rides.withColumn("zip", F.lit(MISSING))
-    height, width = _bucket_sizes(reach, radius_km)
-    near = (
+    height, width = _bucket_sizes(size["reach"], radius_km)
+    numbered = size["n"] <= max_numbered
+    if numbered:
+        places = small_side(
+            places.withColumn("_no", F.row_number().over(Window.orderBy("zip", "lat", "lon"))), max_broadcast
+        )
+    index = _neighbours(places, height, width)
+    spots = (
         rides.filter(F.col(lat).between(-90, 90) & F.col(lon).isNotNull())
         .select(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"))
         .distinct()
         .withColumns({"_pi": F.floor(F.col("_slat") / height), "_pj": F.floor(F.col("_slon") / width)})
-        .join(
-            _neighbours(places, height, width), (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj"))
-        )
     )
-    mm = haversine_mm(F.col("_slat"), F.col("_slon"), F.col("_lat"), F.col("_lon"))
-    labels = (
-        near.select("_slat", "_slon", mm.alias("_mm"), "_zip")
-        .filter(F.col("_mm") <= round(radius_km * _MM_PER_KM))
-        .groupBy("_slat", "_slon")
-        .agg(F.min(F.struct("_mm", "_zip"))["_zip"].alias("_label"))
+    near = spots.join(
+        F.broadcast(index) if size["n"] <= max_broadcast else index,
+        (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj")),
     )
+    near = near.withColumn("_mm", haversine_mm(F.col("_slat"), F.col("_slon"), F.col("_lat"), F.col("_lon")))
+    within = near.filter(F.col("_mm") <= round(radius_km * _MM_PER_KM)).groupBy("_slat", "_slon")
+    if numbered:
+        # distance and ZIP order in one whole number, whose minimum needs no sort
+        best = within.agg(F.min(F.col("_mm") * MAX_NUMBERED + F.col("_no") - 1).alias("_best"))
+        label = places.select((F.col("_no") - 1).alias("_at"), F.col("zip").alias("_label"))
+        labels = best.join(label, F.col("_best") % MAX_NUMBERED == F.col("_at")).drop("_best", "_at")
+    else:
+        labels = within.agg(F.min(F.struct("_mm", "_zip"))["_zip"].alias("_label"))
     joined = rides.join(labels, (F.col(lat) == F.col("_slat")) & (F.col(lon) == F.col("_slon")), "left")
     return joined.withColumn("zip", F.coalesce("_label", F.lit(MISSING))).drop("_slat", "_slon", "_label")
 

@@ -42,9 +42,10 @@ def test_labels_equal_brute_force(spark, rows, data, radius):
     rides, places = data
     want = sorted((i, nearest(a, b, places, radius)) for i, a, b in rides)
     r, p = spark.createDataFrame(rides, RIDE), spark.createDataFrame(places, PLACE)
-    labelled = zipcodes.label_zip(r, p, radius)
-    assert rows(labelled, "ride_id", "zip") == want
-    assert labelled.columns == [*r.columns, "zip"]
+    for limits in ({}, {"max_broadcast": 0}, {"max_broadcast": 0, "max_numbered": 0}):
+        labelled = zipcodes.label_zip(r, p, radius, **limits)
+        assert rows(labelled, "ride_id", "zip") == want
+        assert labelled.columns == [*r.columns, "zip"]
 
 
 def test_labels_stay_in_the_jvm(spark, data):
