@@ -16,6 +16,7 @@ UNDER_SHARE = 1 / 2
 OVER_COUNT_BELOW = 20
 OVER_RESIDUAL_ABOVE = 10
 WELL_WITHIN = 1
+LARGE_ABOVE = 20
 COLD_BELOW = 20.0
 HOT_ABOVE = 82.0
 
@@ -32,6 +33,10 @@ def is_well(within: float = WELL_WITHIN) -> Column:
     return F.abs("residual") <= within
 
 
+def is_large(above: float = LARGE_ABOVE) -> Column:
+    return F.col("residual") > above
+
+
 def weekday_hour_sizes(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows per (hour, weekday), weekdays as columns."""
     sizes = rows.groupBy(*by, "hour", "weekday").agg(F.count("*").alias("n_rows"))

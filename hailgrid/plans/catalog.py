@@ -420,6 +420,11 @@ def well_estimated(t: Tables) -> DataFrame:
     return _fit_all(t).filter(residuals.is_well())
 
 
+@query
+def large_residual(t: Tables) -> DataFrame:
+    return _fit_all(t).filter(residuals.is_large(OVER_RESIDUAL))
+
+
 @query
 def value_cutoffs(t: Tables) -> DataFrame:
     """Quiet rows predicted too low, and rows over a count."""

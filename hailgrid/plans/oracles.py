@@ -517,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
     q["underestimated"] = _with(f'SELECT {_OWN} FROM own WHERE residual < -0.5 * "count"', "own")
     q["overestimated"] = _with(f'SELECT {_OWN} FROM own WHERE "count" < 20 AND residual > 2', "own")
     q["well_estimated"] = _with(f"SELECT {_OWN} FROM own WHERE abs(residual) <= 1", "own")
+    q["large_residual"] = _with(f"SELECT {_OWN} FROM own WHERE residual > 2", "own")
     q["value_cutoffs"] = _with(
         f"""SELECT {_OWN}, "count" < 5 AND residual < 0 AS quiet_low FROM own
             WHERE ("count" < 5 AND residual < 0) OR "count" > 20""", "own")
