@@ -86,7 +86,8 @@ def split_exact(
 
     Two narrow passes over the keys find where each part ends; the rows are then
     labelled in place by comparing with those ends, so no task orders a whole
-    group and the full rows are not shuffled.
+    group and the full rows are not shuffled. The passes run when this is called:
+    materialise rows that are costly to compute first.
     """
     group = list(by)
     rows = df.withColumn("_u", uniform(keys, seed)).withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))

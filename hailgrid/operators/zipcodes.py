@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hailgrid.session import small_side
+from hailgrid.session import materialize
 
 # Mean Earth radius, and the label of a ride without a ZIP.
 EARTH_KM = 6371.0
@@ -73,20 +73,17 @@ def label_zip(
 
     Rides at one location share a label, so each distinct location is searched
     once: a position with very many rides, such as a broken receiver's (0, 0),
-    is one row before it meets the candidates. One small job over the centroids
-    counts them and reads how far from the equator they lie, which sets the
-    buckets' width.
+    is one row before it meets the candidates. The distinct centroids are written
+    once, counted, and their largest latitude sets the buckets' width.
     """
-    places = _distinct_places(centroids)
+    places = materialize(_distinct_places(centroids))
     size = places.agg(F.count("*").alias("n"), F.max(F.abs("lat")).alias("reach")).first()
     if size["n"] == 0:
         return rides.withColumn("zip", F.lit(MISSING))
     height, width = _bucket_sizes(size["reach"], radius_km)
     numbered = size["n"] <= max_numbered
     if numbered:
-        places = small_side(
-            places.withColumn("_no", F.row_number().over(Window.orderBy("zip", "lat", "lon"))), max_broadcast
-        )
+        places = places.withColumn("_no", F.row_number().over(Window.orderBy("zip", "lat", "lon")))
     index = _neighbours(places, height, width)
     spots = (
         rides.filter(F.col(lat).between(-90, 90) & F.col(lon).isNotNull())
@@ -104,6 +101,7 @@ def label_zip(
         # distance and ZIP order in one whole number, whose minimum needs no sort
         best = within.agg(F.min(F.col("_mm") * MAX_NUMBERED + F.col("_no") - 1).alias("_best"))
         label = places.select((F.col("_no") - 1).alias("_at"), F.col("zip").alias("_label"))
+        label = F.broadcast(label) if size["n"] <= max_broadcast else label
         labels = best.join(label, F.col("_best") % MAX_NUMBERED == F.col("_at")).drop("_best", "_at")
     else:
         labels = within.agg(F.min(F.struct("_mm", "_zip"))["_zip"].alias("_label"))

@@ -14,7 +14,7 @@ from hailgrid.functions.numeric import r6
 from hailgrid.operators import baseline, counts, explore, forest, joins, metrics, residuals, similarity, splits
 from hailgrid.operators import weather, zipcodes
 from hailgrid.plans import workflows
-from hailgrid.session import shared_folder
+from hailgrid.session import materialize, shared_folder
 from hailgrid.sources import sinks
 from hailgrid.sources.tables import Tables
 
@@ -571,7 +571,7 @@ def weighted_split(t: Tables) -> DataFrame:
 
 @query
 def fixed_split(t: Tables) -> DataFrame:
-    cells = counts.cell_hour_counts(t.rides())
+    cells = materialize(counts.cell_hour_counts(t.rides()))
     return splits.split_exact(cells, {"test": 200, "dev": 100}, ["pickup_datetime", "grid_x", "grid_y"], seed=2)
 
 

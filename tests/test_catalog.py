@@ -9,6 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from hailgrid.operators import baseline, counts, joins, weather
 from hailgrid.operators.counts import cell_hour_counts
 from hailgrid.sources.tables import Tables
 
@@ -54,3 +55,14 @@ def test_known_totals(spark):
     counted = cell_hour_counts(t.rides())
     row = counted.agg(F.count("*"), F.sum("count"), F.max("count")).first()
     assert t.rides().count() == 22_682 and tuple(row) == (4_457, 13_545, 14)
+    hourly = weather.clean_metar(t.metar())
+    bands = hourly.agg(
+        F.count("*"), F.count_if(F.col("precip_in") >= 0.3), F.count_if(F.col("precip_in") < 0.1),
+        F.count_if(F.col("fahrenheit") < 20), F.count_if(F.col("fahrenheit") > 82),
+    ).first()
+    assert tuple(bands) == (840, 428, 131, 43, 0)
+    assert joins.join_rides_metar(counted, hourly).count() == 5_582
+    assert joins.rides_without_weather(counted, hourly).count() == 431
+    model = baseline.fit_baseline(counts.scale_counts(counted))
+    size, total = model.agg(F.count("*"), F.round(F.sum("mean_count"), 6)).first()
+    assert (size, total) == (3_525, 10_672.383333)
