@@ -88,6 +88,11 @@ def weather_records(metar: DataFrame, match: str = "whole") -> DataFrame:
     return rows.select("datetime", "fahrenheit", "precip_in", "n_records")
 
 
+def fold_records(records: DataFrame, *features: str) -> DataFrame:
+    """Records of an hour that agree on ``features`` become one, with their number."""
+    return records.groupBy("datetime", *features).agg(F.sum("n_records").alias("n_records"))
+
+
 def completeness(metar: DataFrame) -> DataFrame:
     """Records per day and how many were filed at the routine minute."""
     return metar.groupBy(clock.month_day("datetime").alias("month_day")).agg(

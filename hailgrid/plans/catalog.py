@@ -309,36 +309,39 @@ def weather_join_audit(t: Tables) -> DataFrame:
     return joins.audit_dropped(counts.cell_hour_counts(t.rides()), weather.weather_records(t.metar()))
 
 
-def _weighted_join(t: Tables) -> DataFrame:
-    return joins.join_rides_metar(counts.cell_hour_counts(t.rides()), weather.weather_records(t.metar()))
+def _demand_by_clock(t: Tables, keys: list[str]) -> DataFrame:
+    return workflows.demand_by_clock(counts.cell_hour_counts(t.rides()), weather.weather_records(t.metar()), keys)
 
 
 @query
 def demand_by_weekday(t: Tables) -> DataFrame:
-    return explore.demand_by(_weighted_join(t), ["weekday"], "n_records")
+    return _demand_by_clock(t, ["weekday"])
 
 
 @query
 def demand_by_hour(t: Tables) -> DataFrame:
-    return explore.demand_by(_weighted_join(t), ["hour"], "n_records")
+    return _demand_by_clock(t, ["hour"])
 
 
 @query
 def demand_weekday_hour(t: Tables) -> DataFrame:
-    totals = explore.demand_by(_weighted_join(t), ["weekday", "hour"], "n_records")
-    return explore.matrix(totals, "weekday", "hour", range(24), "demand", "h")
+    return explore.matrix(_demand_by_clock(t, ["weekday", "hour"]), "weekday", "hour", range(24), "demand", "h")
+
+
+def _demand_by_bin(t: Tables, feature: str, n: int) -> DataFrame:
+    records = weather.fold_records(weather.weather_records(t.metar()), feature)
+    joined = joins.join_rides_metar(counts.cell_hour_counts(t.rides()), records)
+    return _rounded(explore.mean_by_bin(joined, feature, n, weight="n_records"), "bin_low", "bin_high", "mean")
 
 
 @query
 def demand_by_temp_bin(t: Tables) -> DataFrame:
-    bins = explore.mean_by_bin(_weighted_join(t), "fahrenheit", 4, weight="n_records")
-    return _rounded(bins, "bin_low", "bin_high", "mean")
+    return _demand_by_bin(t, "fahrenheit", 4)
 
 
 @query
 def demand_by_precip_bin(t: Tables) -> DataFrame:
-    bins = explore.mean_by_bin(_weighted_join(t), "precip_in", 3, weight="n_records")
-    return _rounded(bins, "bin_low", "bin_high", "mean")
+    return _demand_by_bin(t, "precip_in", 3)
 
 
 # ---- baseline models and their errors ------------------------------------

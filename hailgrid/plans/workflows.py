@@ -99,6 +99,16 @@ def residuals_by_area(rides: DataFrame, period: Period = clock.month_floor) -> D
     return with_residual(baseline.fit_predict_means(scaled, keys))
 
 
+def demand_by_clock(counted: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:
+    """Total demand by weekday, hour or both, over rides whose hour has weather.
+
+    Both sides are summed to one row per hour before they are joined.
+    """
+    hourly = counted.groupBy("pickup_datetime").agg(F.sum("count").alias("count"))
+    readings = weather.fold_records(records)
+    return explore.demand_by(join_rides_metar(hourly, readings), keys, "n_records")
+
+
 def label_rides(rides: DataFrame, centroids: DataFrame, radius_km: float) -> DataFrame:
     """Rides with a ZIP; those without one are left out."""
     return zipcodes.labelled_only(zipcodes.label_zip(rides, centroids, radius_km))
@@ -117,8 +127,7 @@ def zip_demand(rides: DataFrame, metar: DataFrame, centroids: DataFrame, radius_
         numeric.bucket_precip("precip_in").alias("precipitation"),
         "n_records",
     )
-    buckets = records.groupBy("datetime", "temperature", "precipitation").agg(F.sum("n_records").alias("n_records"))
-    joined = join_rides_metar(hourly, buckets)
+    joined = join_rides_metar(hourly, weather.fold_records(records, "temperature", "precipitation"))
     keys = ["hour", "weekday", "zip", "temperature", "precipitation"]
     return joined.groupBy(*keys).agg(F.sum(F.col("count") * F.col("n_records")).alias("count"))
 
