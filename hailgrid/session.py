@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -35,16 +38,26 @@ def local_session(app: str = "hailgrid", cores: str = "*", shuffle_partitions: i
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; local
-    sessions without the setting get a temporary one."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session, where driver and executors are one process, may leave
+    the setting out; it then uses one folder that goes when the process ends.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        shared = _own_folder()
     return shared.rstrip("/")
 
 
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="hailgrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
