@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import langid, packing
+from hailgrid.llm import graph_ann, langid, packing, pivots
 from hailgrid.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"), query_every=100, k=10)
+
+
 def op8_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
@@ -24,10 +28,16 @@ def op8_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_cost_packing": op2_cost_packing,
+        "op5_pruned_graph_ann": op5_pruned_graph_ann,
         "op8_string_kernel_langid": op8_string_kernel_langid,
+        "op10_pivot_permutation": op10_pivot_permutation,
     }
 
 
