@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import graph_ann, langid, packing, pivots
+from hailgrid.llm import graph_ann, langid, packing, partenum, pivots
 from hailgrid.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op8_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return partenum.link(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -37,6 +42,7 @@ def queries() -> dict[str, Query]:
         "op2_cost_packing": op2_cost_packing,
         "op5_pruned_graph_ann": op5_pruned_graph_ann,
         "op8_string_kernel_langid": op8_string_kernel_langid,
+        "op9_partenum_jaccard": op9_partenum_jaccard,
         "op10_pivot_permutation": op10_pivot_permutation,
     }
 
