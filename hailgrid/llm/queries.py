@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import graph_ann, langid, packing, partenum, pivots
+from hailgrid.llm import credentials, graph_ann, langid, oracles, packing, partenum, pivots
 from hailgrid.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
 def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -39,6 +43,7 @@ def op10_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_credential_linking": op1_credential_linking,
         "op2_cost_packing": op2_cost_packing,
         "op5_pruned_graph_ann": op5_pruned_graph_ann,
         "op8_string_kernel_langid": op8_string_kernel_langid,
@@ -48,4 +53,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
