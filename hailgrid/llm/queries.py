@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import credentials, graph_ann, langid, oracles, packing, partenum, pivots
+from hailgrid.llm import credentials, graph_ann, kdtree, langid, oracles, packing, partenum, pivots
 from hailgrid.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(table(spark, sf_dir, "embeddings"), query_every=100, k=10)
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_credential_linking": op1_credential_linking,
         "op2_cost_packing": op2_cost_packing,
+        "op3_kd_sharding": op3_kd_sharding,
         "op5_pruned_graph_ann": op5_pruned_graph_ann,
         "op8_string_kernel_langid": op8_string_kernel_langid,
         "op9_partenum_jaccard": op9_partenum_jaccard,
