@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import credentials, graph_ann, kdtree, langid, oracles, packing, partenum, pivots
+from hailgrid.llm import credentials, graph_ann, kdtree, langid, licenses, oracles, packing, partenum, pivots
 from hailgrid.llm.common import bounded_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(table(spark, sf_dir, "embeddings"), query_every=100, k=10)
 
 
+def op7_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op2_cost_packing": op2_cost_packing,
         "op3_kd_sharding": op3_kd_sharding,
         "op5_pruned_graph_ann": op5_pruned_graph_ann,
+        "op7_license_containment": op7_license_containment,
         "op8_string_kernel_langid": op8_string_kernel_langid,
         "op9_partenum_jaccard": op9_partenum_jaccard,
         "op10_pivot_permutation": op10_pivot_permutation,
