@@ -48,5 +48,22 @@ FROM docs LEFT JOIN by_row USING (r)
 """
 
 
+def _warc() -> str:
+    symbol = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> {}) & 31)::INTEGER + 1, 1)"
+    four = " || ".join(symbol.format(shift) for shift in (15, 10, 5, 0))
+    return f"""
+WITH own AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+    array_to_string([{four} FOR n IN [('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT FOR i IN range(8)]], '') AS payload_digest
+  FROM own),
+newest AS (SELECT payload_digest, max(page_id) AS newest FROM digests GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN newest IS NULL OR page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN newest IS NULL OR page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM digests JOIN newest USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_credential_linking": _credentials()}
+    return {"op1_credential_linking": _credentials(), "op6_warc_chain": _warc()}

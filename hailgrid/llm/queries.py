@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import credentials, graph_ann, kdtree, langid, licenses, oracles, packing, partenum, pivots
+from hailgrid.llm import credentials, graph_ann, kdtree, langid, licenses, oracles, packing, partenum, pivots, warc
 from hailgrid.llm.common import bounded_batches, table
+from hailgrid.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +31,11 @@ def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(table(spark, sf_dir, "embeddings"), query_every=100, k=10)
 
 
+def op6_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    return warc.round_trip(table(spark, sf_dir, "pages"), path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_license_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -55,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op2_cost_packing": op2_cost_packing,
         "op3_kd_sharding": op3_kd_sharding,
         "op5_pruned_graph_ann": op5_pruned_graph_ann,
+        "op6_warc_chain": op6_warc_chain,
         "op7_license_containment": op7_license_containment,
         "op8_string_kernel_langid": op8_string_kernel_langid,
         "op9_partenum_jaccard": op9_partenum_jaccard,
