@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import credentials, graph_ann, kdtree, langid, licenses, oracles, packing, partenum, pivots, warc
+from hailgrid.llm import bpe, credentials, graph_ann, kdtree, langid, licenses, oracles, packing, partenum, pivots, warc
 from hailgrid.llm.common import bounded_batches, table
 from hailgrid.session import shared_folder
 
@@ -27,6 +27,11 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(table(spark, sf_dir, "embeddings"), query_every=100, k=10)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op1_credential_linking": op1_credential_linking,
         "op2_cost_packing": op2_cost_packing,
         "op3_kd_sharding": op3_kd_sharding,
+        "op4_byte_bpe": op4_byte_bpe,
         "op5_pruned_graph_ann": op5_pruned_graph_ann,
         "op6_warc_chain": op6_warc_chain,
         "op7_license_containment": op7_license_containment,
