@@ -36,6 +36,8 @@ PERCENT = 80
 SAFE_K = 32
 DEPTH = 3
 BLOCK_SETS = 512
+# Bits of the map that chooses the texts to be verified: 4 MiB.
+MAP_BITS = 1 << 25
 # Columns of a block's presence matrix that are multiplied at a time.
 COLUMNS = 4096
 
@@ -128,6 +130,34 @@ def _compare(sets: list[np.ndarray], percent: int) -> np.ndarray:
             return root
 
 
+def _sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, shingles) of the rows whose doc_id is the ``least`` of a member, and of some others.
+
+    A bit map of ``MAP_BITS`` bits goes to every task, so that texts need not be shuffled to be chosen. It holds a bit
+    for each member's id and grows no further; when it fills up, more rows than needed pass and the join on the keys drops them.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits = members.select(slot("least").alias("slot")).groupBy(F.floor(F.col("slot") / 63).alias("word"))
+    filled = bits.agg(F.expr("bit_or(shiftleft(1L, cast(slot % 63 AS int)))").alias("bits")).collect()
+    table = np.zeros(MAP_BITS // 63 + 1, dtype=np.int64)
+    for r in filled:
+        table[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(words)
+        for batch in batches:
+            at = batch["slot"].to_numpy()
+            texts = batch["text"][(shared.value[at // 63] >> (at % 63)) & 1 == 1]
+            sets = [shingler(t) for t in texts]
+            keys = [set_key(s) for s in sets]
+            if not sets:
+                continue
+            yield pd.DataFrame({"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingles": [s.view(np.int64) for s in sets]})
+
+    return docs.select("text", slot(F.col("doc_id").cast("long")).alias("slot")).mapInPandas(shingle, "k1 long, k2 long, shingles array<long>")
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, set_group) for every row of ``docs`` (doc_id, text).
 
@@ -148,30 +178,20 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets
 
     # The sets that have a possible partner, from the text of one row each.
     members = materialize(full.join(clusters, "k1").select("k1", "k2", "cluster", "least").withColumn("id", F.monotonically_increasing_id()))
-    wanted = members.select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler = Shingler(words)
-        for batch in batches:
-            sets = [shingler(t) for t in batch["text"]]
-            keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "shingles": [s.view(np.int64) for s in sets]})
-
-    sets = texts.mapInPandas(shingle, "k1 long, k2 long, shingles array<long>").join(members, ["k1", "k2"]).dropDuplicates(["id"])
     blocks = members.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / block_sets).alias("blocks"))
-    dealt = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "shingles")
+    dealt = dealt.select("k1", "k2", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id")
+    sets = _sets_of(docs, members, words).join(dealt, ["k1", "k2"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
+        # Rows that share the id of a member may hold its set again.
+        group = group.drop_duplicates("id").sort_values("id")
         ids = group["id"].to_numpy()
         root = _compare([np.asarray(s).view(np.uint64) for s in group["shingles"]], percent)
         return pd.DataFrame({"a": ids, "b": ids[root]})[ids != ids[root]]
 
-    links = materialize(dealt.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long"))
+    links = materialize(sets.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long"))
     labels = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
     labelled = members.join(labels, "id")
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))

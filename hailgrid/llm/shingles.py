@@ -7,7 +7,17 @@ import xxhash
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
+
+
+class _WordHashes(dict):
+    """Hashes of the words met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -27,23 +37,16 @@ class Shingler:
 
     def __init__(self, n: int):
         self.n = n
-        self._words: dict[bytes, int] = {}
+        self._words = _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The distinct shingles, sorted."""
         if not text:
             return np.empty(0, dtype=np.uint64)
-        known, hashes = self._words, []
-        for word in text.encode("utf-8", "surrogatepass").lower().split():
-            h = known.get(word)
-            if h is None:
-                if len(known) >= CACHED_WORDS:
-                    known.clear()
-                h = known[word] = xxhash.xxh64_intdigest(word)
-            hashes.append(h)
-        if not hashes:
+        split = text.encode("utf-8", "surrogatepass").lower().split()
+        if not split:
             return np.empty(0, dtype=np.uint64)
-        words = np.array(hashes, dtype=np.uint64)
+        words = np.fromiter(map(self._words.__getitem__, split), dtype=np.uint64, count=len(split))
         length = min(self.n, len(words))
         with np.errstate(over="ignore"):
             rolled = words[: len(words) - length + 1].copy()
