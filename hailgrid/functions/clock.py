@@ -6,6 +6,8 @@ timestamp, so the session zone and its clock changes cannot move a record.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,10 +19,16 @@ WEATHER_TIME = "yyyy-MM-dd HH:mm"
 
 
 def parse_time(c: Column | str, fmt: str, strict: bool = True) -> Column:
-    """Text to timestamp. ``strict`` fails on bad text, otherwise it gives null."""
+    """Text to timestamp. ``strict`` fails on text that is not in the format or is no time, otherwise it gives null.
+
+    The lenient form takes the formats above: digits in place of the letters, in the order that a plain cast reads.
+    """
     if strict:
         return F.to_timestamp_ntz(_as_col(c), F.lit(fmt))
-    return _as_col(c).try_cast("timestamp_ntz")
+    if not RIDE_TIME.startswith(fmt):
+        raise ValueError(f"no lenient parse for {fmt}")
+    shape = "^" + re.sub("[yMdHms]", r"\\d", fmt) + "$"
+    return F.when(_as_col(c).rlike(shape), _as_col(c).try_cast("timestamp_ntz"))
 
 
 def hour_floor(c: Column | str) -> Column:
@@ -32,6 +40,13 @@ def week_floor(c: Column | str) -> Column:
     return F.trunc(_as_col(c).cast("date"), "week").cast("timestamp_ntz")
 
 
+def half_month_floor(c: Column | str) -> Column:
+    """The first or the sixteenth of the month."""
+    day = _as_col(c).cast("date")
+    first = F.trunc(day, "month")
+    return F.when(F.dayofmonth(day) < 16, first).otherwise(F.date_add(first, 15)).cast("timestamp_ntz")
+
+
 def month_floor(c: Column | str) -> Column:
     return F.trunc(_as_col(c).cast("date"), "month").cast("timestamp_ntz")
 

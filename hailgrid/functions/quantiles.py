@@ -14,12 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hailgrid.session import small_side
+
 SKETCH_ACCURACY = 20_000
 BRACKET = 10.0 / SKETCH_ACCURACY
+# A bracket is ranked in so many parts of equal width, each in a task of its own.
+PARTS = 256
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with ``q0, q1, ...``: linearly interpolated quantiles."""
+    """One row per group with ``q0, q1, ...``: linearly interpolated quantiles.
+
+    With ``by`` the groups' brackets are written and counted when this is called, and handed to every task if they are few.
+    """
     keys = list(by)
     col = F.col(value) if isinstance(value, str) else value
     data = df.select(*keys, col.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -32,7 +39,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         F.percentile_approx("_v", highs, SKETCH_ACCURACY).alias("_hi"),
     )
 
-    bracketed = attach(data, sketch, keys)
+    bracketed = attach(data, small_side(sketch) if keys else sketch, keys)
     # Rows outside the bracket only matter through how many lie below it and
     # which value is the nearest on either side.
     sides = bracketed.groupBy(*keys).agg(
@@ -41,26 +48,31 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         *[F.max(F.when(F.col("_v") < F.col("_lo")[i], F.col("_v"))).alias(f"_prev{i}") for i in range(len(probs))],
         *[F.min(F.when(F.col("_v") > F.col("_hi")[i], F.col("_v"))).alias(f"_next{i}") for i in range(len(probs))],
     )
+    def part(i: int) -> Column:
+        low, high = F.col("_lo")[i], F.col("_hi")[i]
+        return F.when(high > low, F.floor((F.col("_v") - low) / (high - low) * (PARTS - 1)).cast("int")).otherwise(0)
+
     slots = F.filter(
         F.array(
             *[
-                F.when(F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i]), F.lit(i))
+                F.when(F.col("_v").between(F.col("_lo")[i], F.col("_hi")[i]), F.struct(F.lit(i).alias("no"), part(i).alias("part")))
                 for i in range(len(probs))
             ]
         ),
         lambda s: s.isNotNull(),
     )
     inside = (
-        bracketed.select(*keys, "_v", F.explode(slots).alias("_slot"))
-        .groupBy(*keys, "_slot", "_v")
+        bracketed.select(*keys, "_v", F.explode(slots).alias("_at"))
+        .groupBy(*keys, F.col("_at.no").alias("_slot"), F.col("_at.part").alias("_part"), "_v")
         .count()
-        .withColumn(
-            "_cum",
-            F.sum("count").over(
-                Window.partitionBy(*keys, "_slot").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
     )
+    # Cumulative counts: within a part of the bracket, after what the parts before it hold.
+    within = Window.partitionBy(*keys, "_slot", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys, "_slot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inside.groupBy(*keys, "_slot", "_part").agg(F.sum("count").alias("_in_part"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_in_part").over(earlier), F.lit(0))).drop("_in_part")
+    inside = inside.withColumn("_cum", F.sum("count").over(within))
+    inside = attach(inside, parts, [*keys, "_slot", "_part"]).withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_part", "_before")
 
     ranked = attach(inside.drop("count"), sides, keys)
     spans = []
@@ -71,6 +83,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         # smallest bracket value whose cumulative count passes the wanted rank
         for name, rank in (("a", F.floor(position)), ("b", F.ceil(position))):
             spans.append(F.min(F.when(here & (below + F.col("_cum") > rank), F.col("_v"))).alias(f"_{name}{i}"))
+        spans.append(F.coalesce(F.max(F.when(here, F.col("_cum"))), F.lit(0)).alias(f"_in{i}"))
     picked = ranked.groupBy(*keys).agg(
         F.first("_n").alias("_n"),
         *[F.first(f"_{side}{i}").alias(f"_{side}{i}") for i in range(len(probs)) for side in ("below", "prev", "next")],
@@ -81,7 +94,10 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         position = F.lit(p) * (F.col("_n") - 1)
         low, high = F.floor(position), F.ceil(position)
         below, prev, nxt = F.col(f"_below{i}"), F.col(f"_prev{i}"), F.col(f"_next{i}")
-        a = F.when(low < below, prev).otherwise(F.coalesce(F.col(f"_a{i}"), nxt))
+        # The neighbours serve a rank that is one beside the bracket; one further off would be a wrong value.
+        lost = (low < below - 1) | (high > below + F.col(f"_in{i}"))
+        a = F.when(lost, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+        a = a.when(low < below, prev).otherwise(F.coalesce(F.col(f"_a{i}"), nxt))
         b = F.when(high < below, prev).otherwise(F.coalesce(F.col(f"_b{i}"), nxt))
         out.append((a + (b - a) * (position - low)).alias(f"q{i}"))
     return picked.select(*keys, *out)

@@ -23,6 +23,8 @@ CATEGORICAL = {
     "2": ("weekday", "hour"),
     "3": ("weekday", "hour", "grid_x", "grid_y"),
 }
+# Rows that one task of a fit reads.
+ROWS_PER_PARTITION = 200_000
 ROW_KEY = ("pickup_datetime", "grid_x", "grid_y", "precip_in")
 
 
@@ -68,19 +70,25 @@ def param_grid(pipeline: Pipeline, grid: Mapping[str, Sequence[int]]) -> list:
 def model_table(joined: DataFrame, keys: Sequence[str] = ROW_KEY) -> DataFrame:
     """The joined rows written once, evenly spread and in a fixed order.
 
-    Fitting reads its input many times and must not go back to the rides. It is
-    bound by processor time, so small tables are spread over all cores too, and
-    a fixed order makes a seeded fit repeatable.
+    Fitting reads its input many times and must not go back to the rides. The number of partitions follows the
+    rows, with as many as there are shuffle partitions at least, and a fixed order makes a seeded fit repeatable.
     """
-    cores = joined.sparkSession.sparkContext.defaultParallelism
-    return materialize(joined.repartition(cores, *keys).sortWithinPartitions(*keys))
+    rows = materialize(joined)
+    least = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-rows.count() // ROWS_PER_PARTITION))
+    return materialize(rows.repartition(parts, *keys).sortWithinPartitions(*keys))
 
 
 @dataclass
 class ForestResult:
+    """``predictions`` and ``rmse`` are those of the test rows, and ``dev`` and ``dev_rmse`` those of the development rows."""
+
     model: CrossValidatorModel
+    train: DataFrame
     predictions: DataFrame
     rmse: float
+    dev: DataFrame
+    dev_rmse: float
 
     @property
     def best(self) -> PipelineModel:
@@ -89,6 +97,7 @@ class ForestResult:
 
 def cross_validate(
     train: DataFrame,
+    dev: DataFrame,
     test: DataFrame,
     model_type: str,
     grid: Mapping[str, Sequence[int]],
@@ -98,7 +107,11 @@ def cross_validate(
     seed: int = 1,
     parallelism: int = 4,
 ) -> ForestResult:
-    """k-fold search over the grid on ``train``, scored on ``test``."""
+    """k-fold search over the grid on ``train``, scored on ``dev`` and ``test``.
+
+    With a weight, a row of weight n counts n times in the errors and in the trees' splits, but once
+    towards minInstancesPerNode, so a fit on folded rows is not quite that on repeated ones.
+    """
     pipeline = build_pipeline(model_type, label, weight, seed)
     score = evaluator(label, weight=weight)
     search = CrossValidator(
@@ -110,8 +123,8 @@ def cross_validate(
         parallelism=parallelism,
     )
     model = search.fit(train)
-    predictions = model.transform(test)
-    return ForestResult(model, predictions, score.evaluate(predictions))
+    tested, developed = model.transform(test), model.transform(dev)
+    return ForestResult(model, train, tested, score.evaluate(tested), developed, score.evaluate(developed))
 
 
 def rf_pipeline(
@@ -124,11 +137,10 @@ def rf_pipeline(
     keys: Sequence[str] = ROW_KEY,
     seed: int = 1,
 ) -> ForestResult:
-    """Thirds for train, dev and test; search on train, score on test."""
+    """Thirds for train, dev and test; search on train, score on the others."""
     parts = model_table(splits.weighted_split(joined, {"train": 1, "dev": 1, "test": 1}, keys, seed), keys)
-    train = parts.filter(F.col("split") == "train").drop("split")
-    test = parts.filter(F.col("split") == "test").drop("split")
-    return cross_validate(train, test, model_type, grid, num_folds, label, weight, seed)
+    train, dev, test = (parts.filter(F.col("split") == name).drop("split") for name in ("train", "dev", "test"))
+    return cross_validate(train, dev, test, model_type, grid, num_folds, label, weight, seed)
 
 
 def rf_period_split(
@@ -143,9 +155,9 @@ def rf_period_split(
     seed: int = 1,
 ) -> ForestResult:
     """Train on the early period; the late one is halved into dev and test."""
-    parts = splits.weighted_split(late, {"dev": 1, "test": 1}, keys, seed)
-    test = model_table(parts.filter(F.col("split") == "test").drop("split"), keys)
-    return cross_validate(model_table(early, keys), test, model_type, grid, num_folds, label, weight, seed)
+    parts = model_table(splits.weighted_split(late, {"dev": 1, "test": 1}, keys, seed), keys)
+    dev, test = (parts.filter(F.col("split") == name).drop("split") for name in ("dev", "test"))
+    return cross_validate(model_table(early, keys), dev, test, model_type, grid, num_folds, label, weight, seed)
 
 
 def fit_once(

@@ -16,16 +16,20 @@ def with_residual(pred: DataFrame, actual: str = "count", predicted: str = "pred
     return pred.withColumn(name, F.col(predicted) - F.col(actual))
 
 
-def rmse(a: Column | str, b: Column | str) -> Column:
+def rmse(a: Column | str, b: Column | str, weight: str | None = None) -> Column:
     left = F.col(a) if isinstance(a, str) else a
     right = F.col(b) if isinstance(b, str) else b
-    return F.sqrt(F.avg((left - right) * (left - right)))
+    squares = (left - right) * (left - right)
+    return F.sqrt(F.avg(squares) if weight is None else F.sum(squares * F.col(weight)) / F.sum(weight))
 
 
-def r2(actual: str, predicted: str) -> Column:
-    """``1 - sse / sst``."""
+def r2(actual: str, predicted: str, weight: str | None = None) -> Column:
+    """``1 - sse / sst``; a row of weight n counts as n rows."""
     error = F.col(actual) - F.col(predicted)
-    return 1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))
+    if weight is None:
+        return 1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))
+    w, y = F.col(weight), F.col(actual)
+    return 1 - F.sum(error * error * w) / (F.sum(y * y * w) - F.sum(y * w) * F.sum(y * w) / F.sum(w))
 
 
 def quantile_name(p: float) -> str:
@@ -99,9 +103,20 @@ def scaling_check(pred: DataFrame) -> DataFrame:
     )
 
 
-def error_summary(pred: DataFrame, actual: str = "count", predicted: str = "pred") -> DataFrame:
-    """One row: size, largest count, squared error and the mean and deviation of actual - predicted."""
+def error_summary(pred: DataFrame, actual: str = "count", predicted: str = "pred", weight: str | None = None) -> DataFrame:
+    """One row: size, largest count, squared error and the mean and deviation of actual - predicted; a row of weight n counts as n rows."""
     error = F.col(actual) - F.col(predicted)
+    if weight is not None:
+        w = F.col(weight)
+        n, total, squares = F.sum(w), F.sum(error * w), F.sum(error * error * w)
+        return pred.agg(
+            n.alias("n_rows"),
+            F.max(actual).alias("max_count"),
+            squares.alias("sse"),
+            (total / n).alias("mean_error"),
+            (F.sum(F.abs(error) * w) / n).alias("mean_abs_error"),
+            F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1))).alias("std_error"),
+        )
     return pred.agg(
         F.count("*").alias("n_rows"),
         F.max(actual).alias("max_count"),

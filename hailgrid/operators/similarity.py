@@ -72,8 +72,8 @@ def period_vectors(dense: DataFrame, period: str = "period") -> DataFrame:
     return vectors.select(period, array_to_vector(values).alias("features"))
 
 
-def fit_clusters(vectors: DataFrame, k: int = 2, seed: int = 1, starts: int = 3) -> KMeansModel:
-    """The cheapest of ``starts`` seeded runs."""
+def fit_clusters(vectors: DataFrame, k: int = 2, seed: int = 1, starts: int = 10) -> KMeansModel:
+    """The cheapest of ``starts`` seeded runs; more starts are less likely to end in a poor optimum."""
     fits = [KMeans(k=k, seed=seed + i, maxIter=100).fit(vectors) for i in range(starts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 

@@ -2,16 +2,17 @@
 
 Both sides are put into square buckets one radius wide, so that any centroid
 within the radius of a point lies in the point's bucket or one of its eight
-neighbours; a candidate search is then an equi-join on the bucket. Distances are
+neighbours. The index has one row per bucket, which holds every centroid that may be nearest to a point
+of it, so a ride meets one row and picks its label with an array expression. Distances are
 compared in whole millimetres and ties go to the smaller ZIP, so labels do not
-depend on the order of arithmetic.
+depend on the order of arithmetic. Buckets wrap around at 180 degrees.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hailgrid.session import materialize
@@ -21,10 +22,8 @@ EARTH_KM = 6371.0
 MISSING = "missing"
 _MM_PER_KM = 1e6
 
-# Distinct centroids up to which their numbering runs as one sort, and up to
-# which the bucket index (nine rows each) is handed to every task. Larger tables
-# take the general form of each step. US ZIP codes number about 41,000.
-MAX_NUMBERED = 1 << 20
+# Places up to which the index, nine entries each, is handed to every task (about 20 MB); a larger one is
+# joined by bucket. US ZIP codes number about 41,000.
 MAX_BROADCAST = 50_000
 
 
@@ -40,24 +39,32 @@ def _distinct_places(centroids: DataFrame) -> DataFrame:
     return centroids.groupBy("lat", "lon").agg(F.min("zip").alias("zip"))
 
 
-def _bucket_sizes(max_abs_lat: float, radius_km: float) -> tuple[float, float]:
-    """Bucket height and width in degrees; at least one radius everywhere a match can lie."""
+def _bucket_sizes(max_abs_lat: float, radius_km: float) -> tuple[float, int]:
+    """Bucket height in degrees, and the number of buckets around a circle of latitude; a bucket is at least one
+    radius wide everywhere a match can lie. Near a pole one bucket spans the circle."""
     height = math.degrees(radius_km / EARTH_KM) * 1.001
-    reach = min(89.0, max_abs_lat + height)
-    return height, height / math.cos(math.radians(reach))
-
-
-def _neighbours(places: DataFrame, height: float, width: float) -> DataFrame:
-    """Each centroid once for each bucket whose points it may be nearest to."""
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    rows = places.withColumn("_di", F.explode(steps)).withColumn("_dj", F.explode(steps))
-    return rows.select(
-        (F.floor(F.col("lat") / height) + F.col("_di")).alias("_bi"),
-        (F.floor(F.col("lon") / width) + F.col("_dj")).alias("_bj"),
-        F.col("_no") if "_no" in places.columns else F.col("zip").alias("_zip"),
-        F.col("lat").alias("_lat"),
-        F.col("lon").alias("_lon"),
-    )
+    reach = max_abs_lat + height
+    if reach >= 89.0:
+        return height, 1
+    # the arc that spans the radius there: slightly wider than the radius over the cosine
+    half = math.sin(radius_km / EARTH_KM / 2) / math.cos(math.radians(reach))
+    width = math.degrees(2 * math.asin(min(1.0, half))) * 1.001
+    return height, max(1, math.floor(360.0 / width))
+
+
+def _bucket(lat: Column, lon: Column, height: float, around: int) -> tuple[Column, Column]:
+    turn = F.floor((lon + 180.0) / 360.0 * around)
+    return F.floor(lat / height), F.pmod(turn, F.lit(around))
+
+
+def _index(places: DataFrame, height: float, around: int) -> DataFrame:
+    """(_bi, _bj, _near): the places of each bucket and its neighbours. A row is bounded by the places in nine buckets."""
+    i, j = _bucket(F.col("lat"), F.col("lon"), height, around)
+    sides = sorted({d % around for d in (-1, 0, 1)})
+    rows = places.withColumn("_di", F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)])))
+    rows = rows.withColumn("_dj", F.explode(F.array(*[F.lit(d) for d in sides])))
+    keys = [(i + F.col("_di")).alias("_bi"), F.pmod(j + F.col("_dj"), F.lit(around)).alias("_bj")]
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("zip", "lat", "lon")).alias("_near"))
 
 
 def label_zip(
@@ -66,47 +73,31 @@ def label_zip(
     radius_km: float,
     lat: str = "pickup_latitude",
     lon: str = "pickup_longitude",
-    max_numbered: int = MAX_NUMBERED,
     max_broadcast: int = MAX_BROADCAST,
 ) -> DataFrame:
     """Rides with ``zip``: the nearest centroid within the radius, else 'missing'.
 
-    Rides at one location share a label, so each distinct location is searched
-    once: a position with very many rides, such as a broken receiver's (0, 0),
-    is one row before it meets the candidates. The distinct centroids are written
-    once, counted, and their largest latitude sets the buckets' width.
+    The distinct centroids are written once when this is called, counted, and their largest latitude sets the buckets' width. With
+    a broadcast index the rides are scanned once and not shuffled; beyond that Spark joins by bucket and splits hot ones.
     """
     places = materialize(_distinct_places(centroids))
     size = places.agg(F.count("*").alias("n"), F.max(F.abs("lat")).alias("reach")).first()
     if size["n"] == 0:
         return rides.withColumn("zip", F.lit(MISSING))
-    height, width = _bucket_sizes(size["reach"], radius_km)
-    numbered = size["n"] <= max_numbered
-    if numbered:
-        places = places.withColumn("_no", F.row_number().over(Window.orderBy("zip", "lat", "lon")))
-    index = _neighbours(places, height, width)
-    spots = (
-        rides.filter(F.col(lat).between(-90, 90) & F.col(lon).isNotNull())
-        .select(F.col(lat).alias("_slat"), F.col(lon).alias("_slon"))
-        .distinct()
-        .withColumns({"_pi": F.floor(F.col("_slat") / height), "_pj": F.floor(F.col("_slon") / width)})
-    )
-    near = spots.join(
-        F.broadcast(index) if size["n"] <= max_broadcast else index,
-        (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj")),
+    height, around = _bucket_sizes(size["reach"], radius_km)
+    index = materialize(_index(places, height, around))
+    index = F.broadcast(index) if size["n"] <= max_broadcast else index
+
+    valid = F.col(lat).between(-90, 90) & F.col(lon).isNotNull()
+    i, j = _bucket(F.col(lat), F.col(lon), height, around)
+    placed = rides.withColumns({"_pi": F.when(valid, i), "_pj": F.when(valid, j)})
+    joined = placed.join(index, (F.col("_pi") == F.col("_bi")) & (F.col("_pj") == F.col("_bj")), "left")
+    apart = F.transform(
+        "_near",
+        lambda c: F.struct(haversine_mm(F.col(lat), F.col(lon), c["lat"], c["lon"]).alias("mm"), c["zip"].alias("zip")),
     )
-    near = near.withColumn("_mm", haversine_mm(F.col("_slat"), F.col("_slon"), F.col("_lat"), F.col("_lon")))
-    within = near.filter(F.col("_mm") <= round(radius_km * _MM_PER_KM)).groupBy("_slat", "_slon")
-    if numbered:
-        # distance and ZIP order in one whole number, whose minimum needs no sort
-        best = within.agg(F.min(F.col("_mm") * MAX_NUMBERED + F.col("_no") - 1).alias("_best"))
-        label = places.select((F.col("_no") - 1).alias("_at"), F.col("zip").alias("_label"))
-        label = F.broadcast(label) if size["n"] <= max_broadcast else label
-        labels = best.join(label, F.col("_best") % MAX_NUMBERED == F.col("_at")).drop("_best", "_at")
-    else:
-        labels = within.agg(F.min(F.struct("_mm", "_zip"))["_zip"].alias("_label"))
-    joined = rides.join(labels, (F.col(lat) == F.col("_slat")) & (F.col(lon) == F.col("_slon")), "left")
-    return joined.withColumn("zip", F.coalesce("_label", F.lit(MISSING))).drop("_slat", "_slon", "_label")
+    nearest = F.array_min(F.filter(apart, lambda c: c["mm"] <= round(radius_km * _MM_PER_KM)))
+    return joined.withColumn("zip", F.coalesce(nearest["zip"], F.lit(MISSING))).drop("_pi", "_pj", "_bi", "_bj", "_near")
 
 
 def labelled_only(rides: DataFrame) -> DataFrame:

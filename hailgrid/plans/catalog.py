@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hailgrid.functions import clock, numeric
 from hailgrid.functions.grid import NYC
 from hailgrid.functions.numeric import r6
+from hailgrid.functions.quantiles import attach
 from hailgrid.operators import baseline, counts, explore, forest, joins, metrics, residuals, similarity, splits
 from hailgrid.operators import weather, zipcodes
 from hailgrid.plans import workflows
@@ -23,11 +24,15 @@ REGISTRY: dict[str, Callable[[Tables], DataFrame]] = {}
 # The given events cover 30 days, so a period is a week and the model is trained
 # on the first two weeks and scored on the rest.
 PERIOD = clock.week_floor
+# The residual studies fit per half-month: two periods in the given events.
+STUDY_PERIOD = clock.half_month_floor
 SPLIT_AT = "2024-01-15"
 ZIP_RADIUS_KM = 1.0
 OVER_RESIDUAL = 2
+# Of two weeks a cell-hour has few; at a half none would be left.
+UNDER_SHARE = 0.25
 HOT_ABOVE = 50.0
-FOREST_GRID = {"numTrees": [5], "maxDepth": [5], "minInstancesPerNode": [1, 5]}
+FOREST_GRID = {"numTrees": [5], "maxDepth": [10], "minInstancesPerNode": [1, 5]}
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -117,6 +122,9 @@ def hour_keys(t: Tables) -> DataFrame:
 def parsed_values(t: Tables) -> DataFrame:
     """Text to number and text to time, with the three numeric tests side by side."""
     text_time = F.substring(F.col("valid").cast("string"), 1, 16)
+    # Every third text is cut short or has another form, and is no time in the format.
+    kept = F.col("event_id") % 3
+    lenient = F.when(kept == 0, text_time).when(kept == 1, F.substring(text_time, 1, 10)).otherwise(F.translate(text_time, " ", "T"))
     return t.raw_metar().select(
         "event_id",
         clock.parse_time(text_time, clock.WEATHER_TIME).alias("datetime"),
@@ -124,6 +132,7 @@ def parsed_values(t: Tables) -> DataFrame:
         numeric.parse_numeric("p01i").alias("precip_in"),
         numeric.is_numeric_text("tmpf", "search").alias("found_anywhere"),
         numeric.is_numeric_text("tmpf", "prefix").alias("found_at_start"),
+        clock.parse_time(lenient, clock.WEATHER_TIME, strict=False).alias("lenient_datetime"),
     )
 
 
@@ -287,7 +296,8 @@ def dense_grid(t: Tables) -> DataFrame:
 
 @query
 def rides_weather(t: Tables) -> DataFrame:
-    joined = joins.join_rides_metar(counts.count_rides(t.rides()), weather.clean_metar(t.metar()))
+    """Cell-hours with their hour's weather; equal records of an hour are one, with their number."""
+    joined = joins.join_rides_metar(counts.count_rides(t.rides()), weather.weather_records(t.metar()))
     return _rounded(joined, "count_scaled", "fahrenheit")
 
 
@@ -376,7 +386,14 @@ def _scored_adjusted(t: Tables, hourly: DataFrame) -> DataFrame:
 
 @query
 def adjusted_predict(t: Tables) -> DataFrame:
-    scored = _scored_adjusted(t, weather.clean_metar(t.metar()))
+    scored = _scored_adjusted(t, weather.weather_records(t.metar()))
+    return _rounded(scored, "count_scaled", "fahrenheit", "pred", "pred_scaled", "residual")
+
+
+@query
+def adjusted_fit_transform(t: Tables) -> DataFrame:
+    """The rain-adjusted model on the rows that it is fitted to."""
+    scored = workflows.fit_transform_adjusted(t.rides(), weather.weather_records(t.metar()))
     return _rounded(scored, "count_scaled", "fahrenheit", "pred", "pred_scaled", "residual")
 
 
@@ -441,20 +458,70 @@ def residual_weekday_hour(t: Tables) -> DataFrame:
     return residuals.weekday_hour_sizes(_fit_all(t).filter(residuals.is_over(OVER_RESIDUAL)))
 
 
+def _over_study(t: Tables) -> dict[str, DataFrame]:
+    return workflows.analyze_overestimated(t.rides(), OVER_RESIDUAL, period=STUDY_PERIOD)
+
+
+def _under_study(t: Tables) -> dict[str, DataFrame]:
+    return workflows.analyze_underestimated(t.rides(), UNDER_SHARE, STUDY_PERIOD)
+
+
 @query
 def over_study_by_period(t: Tables) -> DataFrame:
-    """Overestimated rows of a model fitted per month, by month, weekday and hour."""
-    return workflows.analyze_overestimated(t.rides(), OVER_RESIDUAL)["weekday_hour"]
+    """Overestimated rows of a model fitted per half-month, by half-month, weekday and hour."""
+    return _over_study(t)["weekday_hour"]
 
 
 @query
 def under_study_cells(t: Tables) -> DataFrame:
-    return workflows.analyze_underestimated(t.rides())["cells"]
+    return _under_study(t)["cells"]
+
+
+@query
+def over_study_cells(t: Tables) -> DataFrame:
+    return _over_study(t)["cells"]
+
+
+@query
+def under_study_by_period(t: Tables) -> DataFrame:
+    return _under_study(t)["weekday_hour"]
+
+
+@query
+def over_study_rows(t: Tables) -> DataFrame:
+    return _rounded(_over_study(t)["rows"], "count_scaled", "pred", "pred_scaled", "residual")
+
+
+@query
+def under_study_rows(t: Tables) -> DataFrame:
+    return _rounded(_under_study(t)["rows"], "count_scaled", "pred", "pred_scaled", "residual")
+
+
+def _panels(study: dict[str, DataFrame]) -> DataFrame:
+    """Histogram panels of a study, one below the other: rows per date, hour and weekday of each period."""
+    axes = (("dates", "date"), ("hours", "hour"), ("weekdays", "weekday"))
+    parts = [
+        study[table].select("period", F.lit(axis).alias("axis"), F.col(axis).cast("string").alias("at"), F.col("count").alias("n_rows"))
+        for table, axis in axes
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def over_histograms(t: Tables) -> DataFrame:
+    return _panels(_over_study(t))
+
+
+@query
+def under_histograms(t: Tables) -> DataFrame:
+    return _panels(_under_study(t))
 
 
 @query
 def residual_histogram(t: Tables) -> DataFrame:
-    return _rounded(explore.histogram(workflows.fit_transform(t.rides()), "hour"), "bin_low", "bin_high")
+    """Hours of the overestimated rows in equal-width bins."""
+    rows = workflows.fit_transform(t.rides()).filter(residuals.is_over(OVER_RESIDUAL))
+    return _rounded(explore.histogram(rows, "hour"), "bin_low", "bin_high")
 
 
 @query
@@ -478,7 +545,7 @@ def residual_by_temperature(t: Tables) -> DataFrame:
 
 @query
 def residual_by_area(t: Tables) -> DataFrame:
-    rows = workflows.residuals_by_area(t.rides(), clock.month_floor)
+    rows = workflows.residuals_by_area(t.rides(), STUDY_PERIOD)
     stats = metrics.describe(rows, "residual", by=["period", "high_demand"])
     return _rounded(stats, "mean", "std", "min", "max", "p25", "p50", "p75")
 
@@ -585,36 +652,59 @@ def _features(t: Tables) -> DataFrame:
     return workflows.joined_features(t.rides(), t.metar())
 
 
-def _forest_scores(t: Tables, model_type: str) -> DataFrame:
+def _facts(result: forest.ForestResult, label: str, weight: str) -> DataFrame:
+    """One row that holds of any sound fit: rows per split, rows predicted, predictions within
+    the range of the training label, and a smaller error on the training rows than the mean's."""
+    ends = result.train.agg(F.struct(F.count("*").alias("n"), F.min(label).alias("low"), F.max(label).alias("high")).alias("x")).scalar()
+    both = result.dev.withColumn("split", F.lit("dev")).unionByName(result.predictions.withColumn("split", F.lit("test")))
+    both = both.withColumn("_train", ends)
+    tested = F.col("split") == "test"
+    inside = F.col("prediction").between(F.col("_train.low") - 1e-9, F.col("_train.high") + 1e-9)
+    fitted = result.model.transform(result.train).agg(metrics.r2(label, "prediction", weight).alias("r2")).scalar()
+    return both.agg(
+        F.first("_train.n").alias("n_train"),
+        F.count_if(~tested).alias("n_dev"),
+        F.count_if(tested).alias("n_test"),
+        F.count("prediction").alias("n_predicted"),
+        F.every(inside).alias("within_range"),
+    ).withColumns({"beats_mean": fitted > 0, "errors_known": F.lit(result.rmse >= 0 and result.dev_rmse >= 0)})
+
+
+def _forest_facts(t: Tables, model_type: str) -> DataFrame:
+    """The parameter sets that were searched, each with the facts of the fit."""
     result = forest.rf_pipeline(_features(t), model_type, FOREST_GRID, num_folds=2, weight="n_records")
-    return forest.get_model_stats(result.model, t.spark).withColumns(
-        {"model_type": F.lit(model_type), "test_rmse": F.lit(result.rmse)}
+    searched = forest.get_model_stats(result.model, t.spark).select(
+        "num_trees", "max_depth", "min_instances", (F.col("cv_rmse") > 0).alias("scored")
     )
+    return attach(searched.withColumn("model_type", F.lit(model_type)), _facts(result, "count_scaled", "n_records"), ())
 
 
 @query
 def rf_type1(t: Tables) -> DataFrame:
-    return _forest_scores(t, "1")
+    return _forest_facts(t, "1")
 
 
 @query
 def rf_type2(t: Tables) -> DataFrame:
-    return _forest_scores(t, "2")
+    return _forest_facts(t, "2")
 
 
 @query
 def rf_type3(t: Tables) -> DataFrame:
-    return _forest_scores(t, "3")
+    return _forest_facts(t, "3")
 
 
 @query
 def rf_single_fit(t: Tables) -> DataFrame:
-    """One fit without a search, on the plain count: error and R2 per split."""
+    """One fit without a search, on the plain count: rows per split, and whether there is an error and it is below the mean's on the training rows."""
     halves = forest.model_table(splits.mask_split(_features(t), forest.ROW_KEY, 0.5, seed=1))
     train, test = (halves.filter(F.col("split") == s) for s in ("train", "test"))
     model, _ = forest.fit_once(train, test, "3", label="count", weight="n_records")
     return model.transform(halves).groupBy("split").agg(
-        metrics.rmse("count", "prediction").alias("rmse"), metrics.r2("count", "prediction").alias("r2")
+        F.count("prediction").alias("n_predicted"),
+        F.sum("n_records").alias("n_records"),
+        (metrics.rmse("count", "prediction", "n_records") > 0).alias("has_error"),
+        ((F.col("split") == "test") | (metrics.r2("count", "prediction", "n_records") > 0)).alias("beats_mean"),
     )
 
 
@@ -623,19 +713,25 @@ def rf_period_split(t: Tables) -> DataFrame:
     early, late = _time_split(t.rides())
     sides = [workflows.joined_features(side, t.metar()) for side in (early, late)]
     result = forest.rf_period_split(*sides, "1", FOREST_GRID, num_folds=2, weight="n_records")
-    return metrics.error_summary(result.predictions, "count_scaled", "prediction")
+    summary = metrics.error_summary(result.predictions, "count_scaled", "prediction", "n_records")
+    facts = _facts(result, "count_scaled", "n_records").drop("beats_mean")
+    return attach(facts, summary.select(F.col("n_rows").alias("n_records"), r6("max_count").alias("max_count")), ())
 
 
 @query
 def rf_reload_score(t: Tables) -> DataFrame:
-    """Fit on the early weeks, save, load, and score the late weeks."""
+    """Fit on the early weeks, save, load, score the late weeks, and compare with the model that was fitted."""
     early, late = _time_split(t.rides())
     train = forest.model_table(workflows.joined_features(early, t.metar()))
     model, _ = forest.fit_once(train, train, "1", weight="n_records")
     folder = f"{shared_folder(t.spark)}/forest-{uuid.uuid4().hex}"
     sinks.save_model(model, folder)
-    scored = forest.score_saved(sinks.load_model(folder), workflows.joined_features(late, t.metar()))
-    return scored.select(
-        "pickup_datetime", "grid_x", "grid_y", "fahrenheit", "precip_in", "weekday", "hour",
-        "count_scaled", "prediction", "residual",
+    rows = forest.model_table(workflows.joined_features(late, t.metar()))
+    loaded = forest.score_saved(sinks.load_model(folder), rows)
+    own = model.transform(rows.select(*forest.ROW_KEY, "fahrenheit", "weekday", "hour")).select(*forest.ROW_KEY, F.col("prediction").alias("fitted"))
+    same = loaded.join(own, list(forest.ROW_KEY))
+    return same.select(
+        "pickup_datetime", "grid_x", "grid_y", r6("fahrenheit").alias("fahrenheit"), "precip_in", "weekday", "hour", r6("count_scaled").alias("count_scaled"),
+        (F.col("prediction") == F.col("fitted")).alias("same_prediction"),
+        (F.abs(F.col("prediction") - F.col("count_scaled") - F.col("residual")) < 1e-12).alias("residual_fits"),
     )

@@ -7,11 +7,11 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "rides": (
         (),
         """
-        SELECT e.event_id * 8 + g.n AS ride_id, e.ts AS pickup_datetime,
+        SELECT e.event_id * 1048576 + g.n AS ride_id, e.ts AS pickup_datetime,
                -74.08e0 + (e.user_id % 11) * 0.04e0 AS pickup_longitude,
                40.45e0 + (floor(e.user_id / 11) % 7) * 0.1e0 AS pickup_latitude
-        FROM events e JOIN (SELECT unnest(generate_series(1, 7)) AS n) g ON g.n <= 1 + floor(e.value / 20)
-        WHERE e.event_type <> 'error'""",
+        FROM events e
+        CROSS JOIN LATERAL (SELECT unnest(generate_series(1, greatest(1, CAST(1 + floor(e.value / 20) AS BIGINT)))) AS n) g""",
     ),
     "cells": (
         ("rides",),
@@ -88,6 +88,36 @@ _STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT s.*, w.fahrenheit, w.precip_in
         FROM scaled s JOIN weather w ON s.pickup_datetime = w.datetime""",
     ),
+    # Equal weather rows of an hour are one row with their number.
+    "folded": (
+        ("weather",),
+        "SELECT datetime, fahrenheit, precip_in, count(*) AS n_records FROM weather GROUP BY ALL",
+    ),
+    "features": (
+        ("scaled", "folded"),
+        """
+        SELECT s.*, w.fahrenheit, w.precip_in, w.n_records
+        FROM scaled s JOIN folded w ON s.pickup_datetime = w.datetime""",
+    ),
+    "early_features": (
+        ("early", "folded"),
+        "SELECT s.*, w.fahrenheit, w.precip_in, w.n_records FROM early s JOIN folded w ON s.pickup_datetime = w.datetime",
+    ),
+    "late_features": (
+        ("late", "folded"),
+        "SELECT s.*, w.fahrenheit, w.precip_in, w.n_records FROM late s JOIN folded w ON s.pickup_datetime = w.datetime",
+    ),
+    "own_by_half": (
+        ("scaled",),
+        """
+        SELECT *, round(exact, 6) + 0.0 AS residual FROM (
+          SELECT *, avg("count") OVER key AS pred, avg(count_scaled) OVER key AS pred_scaled, avg("count") OVER key - "count" AS exact
+          FROM (
+            SELECT * EXCLUDE (count_scaled), "count" / max("count") OVER (PARTITION BY period) AS count_scaled FROM (
+              SELECT *, CAST(date_trunc('month', pickup_datetime) AS TIMESTAMP)
+                + CASE WHEN day(pickup_datetime) < 16 THEN INTERVAL 0 DAY ELSE INTERVAL 15 DAY END AS period FROM scaled))
+          WINDOW key AS (PARTITION BY period, grid_x, grid_y, weekday, hour))""",
+    ),
     "model": (
         ("scaled",),
         """
@@ -383,7 +413,8 @@ def oracle_sql() -> dict[str, str]:
     q["parsed_values"] = _with(
         r"""SELECT event_id, date_trunc('minute', valid) AS datetime, TRY_CAST(tmpf AS DOUBLE) AS fahrenheit,
                    TRY_CAST(p01i AS DOUBLE) AS precip_in, regexp_matches(tmpf, '[0-9]') AS found_anywhere,
-                   regexp_matches(tmpf, '^[0-9]') AS found_at_start FROM raw_metar""", "raw_metar")
+                   regexp_matches(tmpf, '^[0-9]') AS found_at_start,
+                   CASE WHEN event_id % 3 = 0 THEN date_trunc('minute', valid) END AS lenient_datetime FROM raw_metar""", "raw_metar")
     q["period_labels"] = _with(
         """SELECT strftime(pickup_datetime, '%Y-%m') AS period, count(*) AS n_rides,
                   CAST(date_trunc('month', min(pickup_datetime)) AS DATE) AS period_start
@@ -454,7 +485,7 @@ def oracle_sql() -> dict[str, str]:
 
     q["rides_weather"] = _with(
         """SELECT pickup_datetime, grid_x, grid_y, "count", round(count_scaled, 6) AS count_scaled,
-                  round(fahrenheit, 6) AS fahrenheit, precip_in, weekday, hour FROM joined""", "joined")
+                  round(fahrenheit, 6) AS fahrenheit, precip_in, n_records, weekday, hour FROM features""", "features")
     q["rides_weather_left"] = _with(
         """SELECT pickup_datetime, grid_x, grid_y, "count", round(fahrenheit, 6) AS fahrenheit, precip_in,
                   CAST(isodow(pickup_datetime) - 1 AS INTEGER) AS weekday, CAST(hour(pickup_datetime) AS INTEGER) AS hour
@@ -488,7 +519,7 @@ def oracle_sql() -> dict[str, str]:
                   round(avg("count"), 6) AS mean_count, round(avg(count_scaled), 6) AS mean_count_scaled
            FROM joined GROUP BY ALL""", "joined")
     adjusted = """
-        SELECT l.*, w.fahrenheit, w.precip_in, w.precip_in >= 0.3e0 AS heavy_rain,
+        SELECT l.*, w.fahrenheit, w.precip_in, {n} w.precip_in >= 0.3e0 AS heavy_rain,
                coalesce(m.mean_count, 0.0) AS pred, coalesce(m.mean_scaled, 0.0) AS pred_scaled,
                coalesce(m.mean_count, 0.0) - l."count" AS residual
         FROM late l JOIN {weather} w ON l.pickup_datetime = w.datetime
@@ -496,12 +527,21 @@ def oracle_sql() -> dict[str, str]:
              AND m.hour = l.hour AND m.heavy_rain = (w.precip_in >= 0.3e0)"""
     q["adjusted_predict"] = _with(
         f"""SELECT pickup_datetime, grid_x, grid_y, "count", round(count_scaled, 6) AS count_scaled, weekday, hour,
-                   round(fahrenheit, 6) AS fahrenheit, precip_in, heavy_rain, round(pred, 6) AS pred,
+                   round(fahrenheit, 6) AS fahrenheit, precip_in, n_records, heavy_rain, round(pred, 6) AS pred,
                    round(pred_scaled, 6) AS pred_scaled, round(residual, 6) + 0.0 AS residual
-            FROM ({adjusted.format(weather='weather')})""", "late", "rain_model")
+            FROM ({adjusted.format(weather='folded', n='w.n_records,')})""", "late", "rain_model", "folded")
+    q["adjusted_fit_transform"] = _with(
+        """, rain AS (SELECT *, precip_in >= 0.3e0 AS heavy_rain FROM features),
+           means AS (
+             SELECT grid_x, grid_y, weekday, hour, heavy_rain, sum("count" * n_records) / sum(n_records) AS mean_count,
+                    sum(count_scaled * n_records) / sum(n_records) AS mean_scaled FROM rain GROUP BY ALL)
+           SELECT pickup_datetime, grid_x, grid_y, "count", round(count_scaled, 6) AS count_scaled, weekday, hour,
+                  round(fahrenheit, 6) AS fahrenheit, precip_in, n_records, heavy_rain, round(mean_count, 6) AS pred,
+                  round(mean_scaled, 6) AS pred_scaled, round(mean_count - "count", 6) + 0.0 AS residual
+           FROM rain JOIN means USING (grid_x, grid_y, weekday, hour, heavy_rain)""", "features")
     q["prediction_stats"] = _prediction_stats("scored", "scored")
     q["adjusted_stats"] = _prediction_stats(
-        f"({adjusted.format(weather='weather_one')})", "late", "rain_model", "weather_one")
+        f"({adjusted.format(weather='weather_one', n='')})", "late", "rain_model", "weather_one")
     q["scaling_check"] = _with(
         """SELECT round(max(abs((SELECT max("count") FROM counts) * m.mean_count_scaled - m.mean_count)), 6) + 0.0
                     AS max_abs_difference,
@@ -523,14 +563,22 @@ def oracle_sql() -> dict[str, str]:
             WHERE ("count" < 5 AND residual < 0) OR "count" > 20""", "own")
     over = '(SELECT * FROM own WHERE "count" < 20 AND residual > 2)'
     q["residual_weekday_hour"] = _with(_pivot("hour", "weekday", range(7), "weekday_", "1", over), "own")
-    month = "CAST(date_trunc('month', pickup_datetime) AS TIMESTAMP)"
-    q["over_study_by_period"] = _with(
-        _pivot("period, hour", "weekday", range(7), "weekday_", "1",
-               f'(SELECT *, {month} AS period FROM own WHERE "count" < 20 AND residual > 2)'), "own")
-    q["under_study_cells"] = _with(
-        f"""SELECT {month} AS period, grid_x, grid_y, count(*) AS n_rows FROM own
-            WHERE residual < -0.5 * "count" GROUP BY 1, 2, 3""", "own")
-    q["residual_histogram"] = _histogram("scaled", "hour", 10, "", "scaled")
+    over = '(SELECT * FROM own_by_half WHERE "count" < 20 AND residual > 2)'
+    under = '(SELECT * FROM own_by_half WHERE residual < -0.25 * "count")'
+    rows = """SELECT pickup_datetime, period, grid_x, grid_y, "count", round(count_scaled, 6) + 0.0 AS count_scaled, weekday, hour,
+                     round(pred, 6) + 0.0 AS pred, round(pred_scaled, 6) + 0.0 AS pred_scaled, residual FROM """
+    for name, source in (("over", over), ("under", under)):
+        q[f"{name}_study_by_period"] = _with(
+            _pivot("period, hour", "weekday", range(7), "weekday_", "1", source), "own_by_half")
+        q[f"{name}_study_cells"] = _with(
+            f"SELECT period, grid_x, grid_y, count(*) AS n_rows FROM {source} GROUP BY 1, 2, 3", "own_by_half")
+        q[f"{name}_study_rows"] = _with(rows + source, "own_by_half")
+        panels = [
+            f"SELECT period, '{axis}' AS axis, CAST({at} AS VARCHAR) AS at, count(*) AS n_rows FROM {source} GROUP BY 1, 3"
+            for axis, at in (("date", "CAST(pickup_datetime AS DATE)"), ("hour", "hour"), ("weekday", "weekday"))
+        ]
+        q[f"{name}_histograms"] = _with(" UNION ALL ".join(panels), "own_by_half")
+    q["residual_histogram"] = _histogram("own", "hour", 10, 'WHERE "count" < 20 AND residual > 2', "own")
 
     feature = """SELECT '{name}' AS feature, CAST({at} AS DOUBLE) AS at, count(*) AS n,
                         round(avg(residual), 6) + 0.0 AS mean_residual, round(avg(abs(residual)), 6) + 0.0 AS mean_abs
@@ -545,11 +593,11 @@ def oracle_sql() -> dict[str, str]:
         {"heavy_rain": "precip_in >= 0.3e0", "moderate_rain": "precip_in >= 0.1e0 AND precip_in < 0.3e0"})
     q["residual_by_temperature"] = _sides({"cold": "fahrenheit < 20", "hot": "fahrenheit > 50"})
     q["residual_by_area"] = _with(
-        f"""SELECT {month} AS period, grid_x BETWEEN 3 AND 8 AND grid_y BETWEEN 21 AND 32 AS high_demand,
-                   {_stats('exact', '')}, {_quantiles('exact', '')}
-            FROM (SELECT s.*, m.mean_count - s."count" AS exact
-                  FROM scaled s JOIN model m USING (grid_x, grid_y, weekday, hour))
-            GROUP BY 1, 2""", "scaled", "model")
+        f""", areas AS (
+              SELECT *, avg("count") OVER (PARTITION BY period, high_demand, grid_x, grid_y, weekday, hour) - "count" AS area_residual
+              FROM (SELECT *, grid_x BETWEEN 3 AND 8 AND grid_y BETWEEN 21 AND 32 AS high_demand FROM own_by_half))
+            SELECT period, high_demand, {_stats('area_residual', '')}, {_quantiles('area_residual', '')}
+            FROM areas GROUP BY 1, 2""", "own_by_half")
 
     q["period_distance"] = _with("SELECT * FROM distances", "distances")
     q["period_total_distance"] = _with(
@@ -591,4 +639,31 @@ def oracle_sql() -> dict[str, str]:
         f"""SELECT * EXCLUDE (rn), CASE WHEN rn <= 200 THEN 'test' WHEN rn <= 300 THEN 'dev' ELSE 'train' END AS split
             FROM (SELECT *, row_number() OVER (ORDER BY {_uniform(_cell_key(), 2)}, pickup_datetime, grid_x, grid_y) AS rn
                   FROM counts)""", "counts")
+    # What any sound fit must show: the splits are known, the trees are not.
+    key = f"{_cell_key()} || '|' || precip_in"
+    u = _uniform(key, 1)
+    third = 1 / 3
+    for kind in ("1", "2", "3"):
+        q[f"rf_type{kind}"] = _with(
+            f""", parts AS (
+                  SELECT CASE WHEN {u} < {third!r}e0 THEN 'train' WHEN {u} < {third + third!r}e0 THEN 'dev' ELSE 'test' END AS split FROM features)
+                SELECT 5::INTEGER AS num_trees, 10::INTEGER AS max_depth, CAST(m.v AS INTEGER) AS min_instances, true AS scored,
+                       '{kind}' AS model_type, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'dev') AS n_dev,
+                       count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split <> 'train') AS n_predicted,
+                       true AS within_range, true AS beats_mean, true AS errors_known
+                FROM parts, (SELECT unnest([1, 5]) AS v) m GROUP BY m.v""", "features")
+    q["rf_single_fit"] = _with(
+        f"""SELECT CASE WHEN {u} < 0.5 THEN 'train' ELSE 'test' END AS split, count(*) AS n_predicted,
+                   CAST(sum(n_records) AS BIGINT) AS n_records, true AS has_error, true AS beats_mean
+            FROM features GROUP BY 1""", "features")
+    q["rf_period_split"] = _with(
+        f""", parts AS (SELECT *, CASE WHEN {u} < 0.5 THEN 'dev' ELSE 'test' END AS split FROM late_features)
+            SELECT (SELECT count(*) FROM early_features) AS n_train, count(*) FILTER (split = 'dev') AS n_dev,
+                   count(*) FILTER (split = 'test') AS n_test, count(*) AS n_predicted, true AS within_range, true AS errors_known,
+                   CAST(sum(n_records) FILTER (split = 'test') AS BIGINT) AS n_records,
+                   round(max(count_scaled) FILTER (split = 'test'), 6) + 0.0 AS max_count FROM parts""", "early_features", "late_features")
+    q["rf_reload_score"] = _with(
+        """SELECT pickup_datetime, grid_x, grid_y, round(fahrenheit, 6) + 0.0 AS fahrenheit, precip_in, weekday, hour,
+                  round(count_scaled, 6) + 0.0 AS count_scaled, true AS same_prediction, true AS residual_fits
+           FROM late_features""", "late_features")
     return q

@@ -23,12 +23,13 @@ ENGINE_CONF = {
 
 
 def local_session(app: str = "hailgrid", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+    """A session for tests and the benchmark, with its work folder set; clusters bring their own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", _own_folder())
     )
     for key, value in ENGINE_CONF.items():
         builder = builder.config(key, value)

@@ -18,10 +18,12 @@ LAYOUTS = {
 }
 WEATHER_COLUMNS = {"valid": "datetime", "tmpf": "fahrenheit", " p01i": "precip_in"}
 
+# Fixed value: the year and month in a file name.
 PERIOD_IN_NAME = r"(\d{4})-(\d{2})"
 
 
-def ride_path(base: str, year: int, month: int, size: str = "tiny") -> str:
+def ride_path(base: str, year: int, month: int, size: str = "full") -> str:
+    """One month's rides; ``size`` names a sample file instead of the whole month."""
     if size != "full" and size not in SAMPLE_SIZES:
         raise ValueError(f"size={size} is not a supported value")
     suffix = "" if size == "full" else f"_{size}"

@@ -88,7 +88,7 @@ def read_hourly_precip(spark: SparkSession, files: str | list[str]) -> DataFrame
     )
 
 
-def read_rides_year(spark: SparkSession, base: str, year: int, size: str = "tiny", **options) -> DataFrame:
+def read_rides_year(spark: SparkSession, base: str, year: int, size: str = "full", **options) -> DataFrame:
     return read_rides(spark, [P.ride_path(base, year, m, size) for m in range(1, 13)], **options)
 
 

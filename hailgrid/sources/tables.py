@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from hailgrid.functions import clock
 
 
+# Room for the number of a ride in ``ride_id``; values reach far below 20 times as much.
+RIDES_PER_EVENT = 1 << 20
+
+
 class Tables:
     """Rides, weather and centroids derived from one folder of Parquet tables."""
 
@@ -20,17 +24,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def rides(self) -> DataFrame:
-        """One event becomes one to seven rides, by its value. ``ride_id`` identifies a ride."""
-        copies = F.least(F.lit(7), (1 + F.floor(F.col("value") / 20)).cast("int"))
-        position = self.table("events").filter(F.col("event_type") != "error").select(
+        """Each event becomes one ride, and one more for every 20 of its value. ``ride_id`` identifies a ride."""
+        copies = F.greatest(F.lit(1), 1 + F.floor(F.col("value") / 20))
+        position = self.table("events").select(
             "event_id",
             F.col("ts").alias("pickup_datetime"),
             (F.lit(-74.08) + (F.col("user_id") % 11) * F.lit(0.04)).alias("pickup_longitude"),
             (F.lit(40.45) + (F.floor(F.col("user_id") / 11) % 7) * F.lit(0.1)).alias("pickup_latitude"),
             copies.alias("_copies"),
         )
-        return position.withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).select(
-            (F.col("event_id") * 8 + F.col("_n")).alias("ride_id"),
+        return position.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(
+            (F.col("event_id") * RIDES_PER_EVENT + F.col("_n")).alias("ride_id"),
             "pickup_datetime",
             "pickup_longitude",
             "pickup_latitude",

@@ -85,6 +85,10 @@ def test_text_times_and_keys(spark):
     assert tuple(row) == (datetime(2014, 1, 1, 0, 51), "2014-01-01-7")
     bad = spark.createDataFrame([("nonsense",)], "a string")
     assert bad.select(clock.parse_time("a", clock.WEATHER_TIME, strict=False)).first()[0] is None
+    texts = ["2014", "2014-01-01", "2014-01-01T05:06", "2014-01-01T05:06:07", "2014-13-01 05:06", "2014-01-01 05:06:07", " 2014-01-01 05:06", "", None]
+    lenient = spark.createDataFrame([(x,) for x in [*texts, "2014-01-01 05:06"]], "a string")
+    got = [r[0] for r in lenient.select(clock.parse_time("a", clock.WEATHER_TIME, strict=False)).collect()]
+    assert got[:-1] == [None] * len(texts) and str(got[-1]) == "2014-01-01 05:06:00"
     with pytest.raises(Exception):
         bad.select(clock.parse_time("a", clock.WEATHER_TIME)).collect()
 

@@ -252,3 +252,21 @@ def test_forest_period_split_is_repeatable(features):
     runs = [forest.rf_period_split(early, late, "1", grid, num_folds=2) for _ in range(2)]
     assert runs[0].predictions.count() == runs[1].predictions.count()
     assert runs[0].rmse == pytest.approx(runs[1].rmse)
+
+
+def test_weighted_errors_equal_repeated_rows(features):
+    """One model, scored on folded rows with weights and on the rows repeated."""
+    folded = features.withColumn("w", (F.col("hour") % 3 + 1).cast("long"))
+    model, scored = forest.fit_once(folded, folded, "1", label="count", weight="w")
+    repeated = model.transform(folded.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "w"))))
+    one = scored.agg(metrics.rmse("count", "prediction", "w"), metrics.r2("count", "prediction", "w")).first()
+    other = repeated.agg(metrics.rmse("count", "prediction"), metrics.r2("count", "prediction")).first()
+    assert tuple(one) == pytest.approx(tuple(other), abs=1e-9)
+    a = metrics.error_summary(scored, "count", "prediction", "w").first()
+    b = metrics.error_summary(repeated, "count", "prediction").first()
+    assert tuple(a) == pytest.approx(tuple(b), abs=1e-7)
+
+
+def test_a_search_scores_the_development_rows(features):
+    result = forest.rf_pipeline(features, "1", {"numTrees": [2], "maxDepth": [3], "minInstancesPerNode": [1]}, num_folds=2)
+    assert result.dev.count() > 0 and result.dev_rmse == pytest.approx(forest.evaluator().evaluate(result.dev))

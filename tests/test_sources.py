@@ -99,7 +99,7 @@ def test_a_year_at_once(spark, tmp_path):
         put(tmp_path, f"yellow_tripdata_2014-{m:02d}_tiny.csv", " pickup_datetime, pickup_longitude, pickup_latitude",
             f"2014-{m:02d}-01 00:10:00,-73.9,40.8")
     assert readers.read_metar_year(spark, str(tmp_path), 2014).count() == 12
-    assert readers.read_rides_year(spark, str(tmp_path), 2014).count() == 12
+    assert readers.read_rides_year(spark, str(tmp_path), 2014, "tiny").count() == 12
 
 
 def test_header_names(spark):

@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from hailgrid.operators import zipcodes
 from hailgrid.plans import workflows
+from hailgrid.sources.tables import Tables
 
 RIDE = "ride_id int, pickup_latitude double, pickup_longitude double"
 PLACE = "zip string, lat double, lon double"
@@ -42,7 +44,7 @@ def test_labels_equal_brute_force(spark, rows, data, radius):
     rides, places = data
     want = sorted((i, nearest(a, b, places, radius)) for i, a, b in rides)
     r, p = spark.createDataFrame(rides, RIDE), spark.createDataFrame(places, PLACE)
-    for limits in ({}, {"max_broadcast": 0}, {"max_broadcast": 0, "max_numbered": 0}):
+    for limits in ({}, {"max_broadcast": 0}):
         labelled = zipcodes.label_zip(r, p, radius, **limits)
         assert rows(labelled, "ride_id", "zip") == want
         assert labelled.columns == [*r.columns, "zip"]
@@ -55,6 +57,31 @@ def test_labels_stay_in_the_jvm(spark, data):
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("radius", [1.0, 300.0])
+def test_labels_wrap_around_and_near_the_poles(spark, rows, radius):
+    rng = random.Random(8)
+    edge = [-180.0, -179.9995, -179.99, 179.99, 179.9995, 180.0]
+    places = [(f"{i:04d}", rng.choice([0.0, 60.0, 0.004]), rng.choice(edge)) for i in range(30)]
+    spots = [(rng.choice([0.0, 0.003, 60.0, 60.002]), rng.choice(edge)) for _ in range(60)]
+    for more in ([], [("pole", 89.999, 10.0), ("south", -89.9995, -170.0)]):
+        own = places + more
+        at = spots + [(89.9995, -170.0), (-90.0, 0.0)]
+        rides = [(i, *x) for i, x in enumerate(at)]
+        labelled = zipcodes.label_zip(spark.createDataFrame(rides, RIDE), spark.createDataFrame(own, PLACE), radius)
+        assert rows(labelled, "ride_id", "zip") == sorted((i, nearest(a, b, own, radius)) for i, a, b in rides)
+
+
+def test_rides_are_not_shuffled(spark):
+    t = Tables(spark, SMALL)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = zipcodes.label_zip(t.rides(), t.centroids(), 1.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("events.parquet") == 1 and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_no_centroids_and_missing(spark, rows, data):
     rides, _ = data
     r = spark.createDataFrame(rides, RIDE)
