@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from hailgrid.llm import credentials as c
+from hailgrid.llm import licenses as li
+from hailgrid.llm import pivots
 
 
 def _quoted(text: str) -> str:
@@ -65,5 +67,93 @@ FROM digests JOIN newest USING (payload_digest)
 """
 
 
+def _licenses() -> str:
+    word = _quoted(li.WORD)
+    places = " UNION ALL ".join(
+        f"""SELECT r, i - {len(p.split()) - 1} AS start, '{label}' AS label FROM stood
+            WHERE {" AND ".join(f"w{k} = {_quoted(w)}" for k, w in enumerate(reversed(p.split())))}"""
+        for p, label in li.PHRASES
+    )
+    templates = ", ".join(
+        f"('{grain}', '{label}', [{', '.join(_quoted(w) for w in sorted(li.template_words(text)))}])" for grain, label, text in li.TEMPLATES
+    )
+    blocks = " UNION ALL ".join(
+        f"SELECT r, '{grain}' AS grain, unnest(string_split_regex(low, {_quoted(cut)})) AS block FROM docs" for grain, cut in li.BLOCKS.items()
+    )
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+words AS (SELECT r, regexp_extract_all(low, {word}) AS ws FROM docs),
+stood AS (
+  SELECT r, i, w0, lag(w0, 1) OVER along AS w1, lag(w0, 2) OVER along AS w2
+  FROM (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS w0 FROM words)
+  WINDOW along AS (PARTITION BY r ORDER BY i)),
+places AS ({places}),
+base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY r),
+templates AS (SELECT * FROM (VALUES {templates}) t(grain, label, ts)),
+blocks AS ({blocks}),
+held AS (SELECT r, grain, list_distinct(regexp_extract_all(block, {word})) AS bs FROM blocks),
+matched AS (
+  SELECT r, label, len(list_intersect(bs, ts)) / len(ts) AS part FROM held JOIN templates USING (grain)
+  WHERE len(list_intersect(bs, ts)) >= ceil({li.THRESHOLD} * len(ts) - 1e-9)),
+best AS (SELECT r, max(part) AS part, list(DISTINCT label) AS ls FROM matched GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base.ls, []::VARCHAR[])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []::VARCHAR[]), coalesce(best.ls, []::VARCHAR[])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0)::DOUBLE END AS score
+FROM docs JOIN words USING (r) LEFT JOIN base USING (r) LEFT JOIN best USING (r)
+"""
+
+
+def _components(nodes: str, links: str) -> str:
+    """Steps that give each node of ``nodes`` (r) the smallest one that ``links`` (a, b, both ways) reach."""
+    return f"""
+reach AS (
+  SELECT r, r AS other FROM {nodes}
+  UNION
+  SELECT reach.r, l.b FROM reach JOIN {links} l ON l.a = reach.other)"""
+
+
+def _jaccard(words: int, percent: int) -> str:
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT r, ws, unnest(range(1, greatest(1, len(ws) - {words - 1}) + 1)) AS i FROM docs WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT r, array_to_string(ws[i:i + {words - 1}], ' ') AS s FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b
+  WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+{_components("docs", "links")}
+SELECT any_value(d.doc_id) AS doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM docs d JOIN reach USING (r) JOIN docs o ON o.r = reach.other LEFT JOIN sizes ON sizes.r = d.r GROUP BY d.r
+"""
+
+
+def _cosine(threshold: float) -> str:
+    return f"""
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (
+  SELECT r, vec_id, v FROM every
+  WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= {threshold}),
+{_components("every", "links")},
+found AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN every o ON o.r = reach.other GROUP BY reach.r),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM every JOIN found USING (r) LEFT JOIN counts USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_credential_linking": _credentials(), "op6_warc_chain": _warc()}
+    return {
+        "op1_credential_linking": _credentials(),
+        "op6_warc_chain": _warc(),
+        "op7_license_containment": _licenses(),
+        "op9_partenum_jaccard": _jaccard(words=4, percent=85),
+        "op10_pivot_permutation": _cosine(pivots.THRESHOLD),
+    }
