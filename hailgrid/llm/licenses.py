@@ -24,6 +24,9 @@ from hailgrid.session import materialize
 # The word pattern, the phrases and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 EDGE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+# The same words and edges in text that is not lower-cased yet.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_EDGE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Public license notices and passages, each with its label.
 NOTICES = (
@@ -63,7 +66,8 @@ def words(low: Column) -> Column:
 
 def word_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Ranks of the template words, by the number of documents that hold them, rarest first; ties by the word."""
-    held = docs.select(F.explode(F.array_intersect(words(lower_ascii(F.col("text"))), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    # The plain lower() will do here: it differs in a few letters that no template has, and the order decides no result.
+    held = docs.select(F.explode(F.array_intersect(words(F.lower("text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
     # As many rows as the templates have words.
     counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
@@ -113,16 +117,27 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phr
         chosen = F.filter(F.split(low, BLOCKS[grain], -1), lambda block: block.rlike(met))
         held = F.transform(chosen, lambda b: F.sort_array(F.transform(F.array_intersect(words(b), vocabulary), lambda w: ranks[w])))
         long = F.filter(held, lambda b: F.size(b) >= least)
-        return F.when(low.rlike(met), F.transform(long, lambda b: F.struct(F.lit(grain).alias("grain"), b.alias("own"))))
+        return F.transform(long, lambda b: F.struct(F.lit(grain).alias("grain"), b.alias("own")))
 
     grains = sorted({g for g, _, _ in sets})
-    found = F.flatten(F.filter(F.array(*[blocks(g) for g in grains]), lambda x: x.isNotNull()))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(text_or_empty()).alias("low"))
+    # Few texts hold a phrase's last word or a prefix word; only those are lower-cased and cut up.
+    last = "|".join(sorted({re.escape(p.split()[-1]) for p, _ in phrases}))
+    first = "|".join(sorted({re.escape(by_rank[r]) for *_, r, _ in prefixes}))
+    text = text_or_empty()
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.regexp_count(text, F.lit(ANY_WORD)).cast("long").alias("n_words"),
+        text.rlike(f"(?i)(?:{last})").alias("has_last"),
+        text.rlike(f"(?i)(?:^|{ANY_EDGE})(?:{first})(?:$|{ANY_EDGE})").alias("has_first"),
+        text.alias("text"),
+    )
+    marked = F.col("has_last") | F.col("has_first")
+    rows = rows.select("doc_id", "n_words", "has_last", "has_first", F.when(marked, lower_ascii(F.col("text"))).alias("low"))
     rows = rows.select(
         "doc_id",
-        F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(low.rlike("|".join(re.escape(p.split()[-1]) for p, _ in phrases)), places(low, phrases)).alias("places"),
-        found.alias("blocks"),
+        "n_words",
+        F.when(F.col("has_last"), places(low, phrases)).alias("places"),
+        F.when(F.col("has_first"), F.concat(*[blocks(g) for g in grains])).alias("blocks"),
     )
     rows = materialize(with_row_id(rows))
 
