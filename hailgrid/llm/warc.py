@@ -43,7 +43,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("payload"))
     own = own.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
     groups = own.select("page_id", "digest").groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1")
-    own = own.join(groups.select("digest", "newest"), "digest", "left")
+    # Written first, so that its size is known: a small table reaches the pages without moving their payloads.
+    own = own.join(materialize(groups.select("digest", "newest")), "digest", "left")
     revisit = (F.col("size") >= min_bytes) & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest"))
 
     def field(name: str, value: Column) -> Column:
