@@ -36,15 +36,16 @@ def matrix(
     return named if fill is None else named.na.fill(fill, [f"{prefix}{v}" for v in values])
 
 
-def value_ends(df: DataFrame, value: str, *also: Column) -> Column:
+def value_ends(df: DataFrame, value: str, *also: Column, pad: Column | None = None) -> Column:
     """Scalar struct with the ends ``lo`` and ``hi`` of a column. When all values
-    are equal the ends move apart by 0.1 %, as binning needs a width.
+    are equal the ends move apart by ``pad``, 0.1 % by default, as binning needs a width.
 
     ``also`` are further aggregates to carry along: naming the columns that the
     binned rows use keeps both plans alike, so that they share one shuffle.
     """
     low, high = F.min(value).cast("double"), F.max(value).cast("double")
-    pad = F.when(low == high, F.when(low != 0, 0.001 * F.abs(low)).otherwise(0.001)).otherwise(0.0)
+    apart = F.when(low != 0, 0.001 * F.abs(low)).otherwise(0.001) if pad is None else pad
+    pad = F.when(low == high, apart).otherwise(0.0)
     extra = [c.alias(f"_{i}") for i, c in enumerate(also)]
     return df.agg(F.struct((low - pad).alias("lo"), (high + pad).alias("hi"), *extra).alias("ends")).scalar()
 
@@ -83,7 +84,7 @@ def mean_by_bin(df: DataFrame, value: str, n: int, measure: str = "count", weigh
 def histogram(df: DataFrame, value: str, n: int = 10) -> DataFrame:
     """Row counts in ``n`` left-closed equal-width bins, empty ones as 0."""
     rows = df.filter(F.col(value).isNotNull())
-    ends = value_ends(rows, value)
+    ends = value_ends(rows, value, pad=F.lit(0.5))
     place = numeric.left_closed_bin(value, F.col("_ends.lo"), F.col("_ends.hi"), n)
     sizes = rows.withColumn("_ends", ends).groupBy(place.alias("bin")).agg(F.count("*").alias("n_rows"))
     bins = all_bins(df.sparkSession, ends, n).join(sizes, "bin", "left")

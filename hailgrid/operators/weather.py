@@ -23,11 +23,6 @@ def clean_precip(metar: DataFrame, match: str = "whole") -> DataFrame:
     return filter_numerical(rows, "precip_in", match).withColumn("datetime", clock.hour_floor("datetime"))
 
 
-def nearest_precip(metar: DataFrame, match: str = "whole") -> DataFrame:
-    """One precipitation record an hour: the reading nearest the routine minute."""
-    return one_per_hour(metar, match).filter(F.col("precip_in").isNotNull()).select("datetime", "precip_in")
-
-
 def one_per_hour(metar: DataFrame, match: str = "whole") -> DataFrame:
     """Per hour the mean temperature and the precipitation reading nearest the
     routine minute, either null if the hour has none.

@@ -72,6 +72,18 @@ def read_rides(
     return clean_rides(rides, grid) if grid is not None else rides
 
 
+def read_rides_parquet(spark: SparkSession, path: str, first: tuple[int, int], last: tuple[int, int], grid: GridSpec | None = NYC) -> DataFrame:
+    """Rides of the (year, month) periods ``first`` to ``last`` from a table that ``sinks.write_by_period`` has
+    written; other periods' folders are not read, and the grid's box is pushed to the files."""
+    (y0, m0), (y1, m1) = P.check_period(*first), P.check_period(*last)
+    year, month = F.col("year"), F.col("month")
+    from_first = (year > y0) | ((year == y0) & (month >= m0))
+    to_last = (year < y1) | ((year == y1) & (month <= m1))
+    rides = spark.read.parquet(path).filter(year.between(y0, y1) & from_first & to_last)
+    rides = rides.select("pickup_datetime", "pickup_longitude", "pickup_latitude", "year", "month")
+    return clean_rides(rides, grid) if grid is not None else rides
+
+
 def read_metar(spark: SparkSession, files: str | list[str], strict_time: bool = True) -> DataFrame:
     """Raw station weather as (datetime, fahrenheit, precip_in), values still text."""
     raw = read_csv(spark, files, P.WEATHER_COLUMNS)

@@ -147,3 +147,14 @@ def test_driver_rows_are_checked(spark):
     assert len(sinks.to_driver(spark.range(5), 5)) == 5
     with pytest.raises(ValueError):
         sinks.to_driver(spark.range(6), 5)
+
+
+def test_rides_come_back_by_period(spark, tmp_path):
+    rows = [(datetime(2013, 12, 5), -74.0, 40.7), (datetime(2014, 1, 5), -74.0, 40.7), (datetime(2014, 2, 5), -73.9, 40.8), (datetime(2014, 2, 6), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "pickup_datetime timestamp_ntz, pickup_longitude double, pickup_latitude double")
+    sinks.write_by_period(df, f"{tmp_path}/rides")
+    got = readers.read_rides_parquet(spark, f"{tmp_path}/rides", (2014, 1), (2014, 2))
+    assert sorted((r.year, r.month) for r in got.collect()) == [(2014, 1), (2014, 2)]
+    assert readers.read_rides_parquet(spark, f"{tmp_path}/rides", (2013, 12), (2014, 1), grid=None).count() == 2
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(pickup_latitude" in plan
