@@ -24,9 +24,9 @@ from hailgrid.session import materialize
 # The word pattern, the phrases and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 EDGE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-# The same words and edges in text that is not lower-cased yet.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ANY_EDGE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+# The same class put the other way, which Java's matcher runs over three times as fast, and what lies between words.
+FAST_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+BETWEEN = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Public license notices and passages, each with its label.
 NOTICES = (
@@ -61,13 +61,13 @@ def template_words(text: str) -> frozenset[str]:
 
 
 def words(low: Column) -> Column:
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(low, F.lit(FAST_WORD), F.lit(0))
 
 
 def word_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Ranks of the template words, by the number of documents that hold them, rarest first; ties by the word."""
     # The plain lower() will do here: it differs in a few letters that no template has, and the order decides no result.
-    held = docs.select(F.explode(F.array_intersect(words(F.lower("text")), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    held = docs.select(F.explode(F.array_intersect(F.split(F.lower("text"), BETWEEN, -1), F.array(*map(F.lit, vocabulary)))).alias("word"))
     # As many rows as the templates have words.
     counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
@@ -122,14 +122,17 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phr
     grains = sorted({g for g, _, _ in sets})
     # Few texts hold a phrase's last word or a prefix word; only those are lower-cased and cut up.
     last = "|".join(sorted({re.escape(p.split()[-1]) for p, _ in phrases}))
-    first = "|".join(sorted({re.escape(by_rank[r]) for *_, r, _ in prefixes}))
+    first = F.array(*[F.lit(by_rank[r]) for r in sorted({r for *_, r, _ in prefixes})])
     text = text_or_empty()
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.regexp_count(text, F.lit(ANY_WORD)).cast("long").alias("n_words"),
-        text.rlike(f"(?i)(?:{last})").alias("has_last"),
-        text.rlike(f"(?i)(?:^|{ANY_EDGE})(?:{first})(?:$|{ANY_EDGE})").alias("has_first"),
-        text.alias("text"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.split(F.lower(text), BETWEEN, -1).alias("cut"))
+    # lower() changes no word's edges, so the cuts give the number of words; a text that begins or ends between words has an empty end.
+    ends = (F.get("cut", 0) == "").cast("int") + ((F.size("cut") > 1) & (F.get("cut", F.size("cut") - 1) == "")).cast("int")
+    rows = rows.select(
+        "doc_id",
+        (F.size("cut") - ends).cast("long").alias("n_words"),
+        F.col("text").rlike(f"(?i)(?:{last})").alias("has_last"),
+        F.arrays_overlap("cut", first).alias("has_first"),
+        "text",
     )
     marked = F.col("has_last") | F.col("has_first")
     rows = rows.select("doc_id", "n_words", "has_last", "has_first", F.when(marked, lower_ascii(F.col("text"))).alias("low"))
