@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hailgrid.functions.quantiles import attach
-from hailgrid.session import small_side
+from hailgrid.session import materialize, small_side
 
 # 13 hex digits of the digest: 52 bits, exact in a double.
 _HEX_DIGITS = 13
 _SPAN = float(16**_HEX_DIGITS)
-# Exact-size sampling ranks rows inside a few of this many slices of [0, 1).
+# Exact-size sampling ranks rows inside a few of this many slices of a slice of [0, 1).
 SLICES = 65_536
 
 
@@ -47,30 +47,42 @@ def mask_split(df: DataFrame, keys: Sequence[str], ratio: float = 0.5, seed: int
     return df.withColumn("split", F.when(uniform(keys, seed) < 1 - ratio, "train").otherwise("test"))
 
 
+def _cut_at(sizes: DataFrame, group: Sequence[str], part: str, rank: Column) -> DataFrame:
+    """For each cut of a group the part (a column of ``sizes``, in order) that its rank falls in, and the rank within that part."""
+    running = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    upto = sizes.withColumn("_upto", F.sum("_in").over(running)).withColumn("_cut", F.explode(rank))
+    here = (F.col("_cut.rank") <= F.col("_upto")) & (F.col("_cut.rank") > F.col("_upto") - F.col("_in"))
+    return upto.filter(here).select(
+        *[F.col(g).alias(f"_k_{g}") for g in group],
+        F.col(part).alias("_k_part"),
+        F.col("_cut.no").alias("_no"),
+        (F.col("_cut.rank") - F.col("_upto") + F.col("_in")).alias("_rank"),
+    )
+
+
 def _boundaries(rows: DataFrame, cuts: Sequence[int], group: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Per group, for each cut the (random number, key) of the row at that rank.
 
-    A count per slice of [0, 1) tells which slice a cut falls in; only the rows
-    of that slice, a 1/SLICES share, are ranked. A cut past the group's last
-    row has no boundary.
+    A count per slice of [0, 1) tells which slice a cut falls in, and a count per slice of that slice
+    which part of it; only the rows there, a 1/SLICES**2 share, are ranked in one task. A cut past the
+    group's last row has no boundary.
     """
+
+    def same(names: Sequence[str], part: str) -> list[Column]:
+        return [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in names] + [F.col(part) == F.col("_k_part")]
+
     sizes = rows.groupBy(*group, "_slice").agg(F.count("*").alias("_in"))
-    running = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    upto = sizes.withColumn("_upto", F.sum("_in").over(running))
-    wanted = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(int(c)).alias("rank")) for i, c in enumerate(cuts)])
-    at = (
-        upto.withColumn("_cut", F.explode(wanted))
-        .filter((F.col("_cut.rank") <= F.col("_upto")) & (F.col("_cut.rank") > F.col("_upto") - F.col("_in")))
-        .select(
-            *[F.col(g).alias(f"_k_{g}") for g in group],
-            F.col("_slice").alias("_k_slice"),
-            F.col("_cut.no").alias("_no"),
-            (F.col("_cut.rank") - F.col("_upto") + F.col("_in")).alias("_rank"),
-        )
-    )
-    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in group] + [F.col("_slice") == F.col("_k_slice")]
-    inside = Window.partitionBy(*group, "_no").orderBy("_u", *keys)
-    ranked = rows.join(small_side(at), same).withColumn("_at", F.row_number().over(inside))
+    wanted = F.array(*[F.struct(F.lit(i).alias("no"), F.lit(int(c)).cast("long").alias("rank")) for i, c in enumerate(cuts)])
+    at = small_side(_cut_at(sizes, group, "_slice", wanted))
+    inside = rows.join(at, same(group, "_slice")).withColumn("_part", F.floor((F.col("_u") * SLICES - F.col("_slice")) * SLICES).cast("int"))
+    inside = materialize(inside.select(*dict.fromkeys([*group, *keys, "_u"]), "_no", "_rank", "_part"))
+
+    by = [*group, "_cut_no"]
+    inside = inside.withColumnRenamed("_no", "_cut_no").withColumnRenamed("_rank", "_cut_rank")
+    sizes = inside.groupBy(*by, "_cut_rank", "_part").agg(F.count("*").alias("_in"))
+    one = F.array(F.struct(F.col("_cut_no").alias("no"), F.col("_cut_rank").alias("rank")))
+    at = small_side(_cut_at(sizes, by, "_part", one))
+    ranked = inside.join(at, same(by, "_part")).withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_u", *keys)))
     found = ranked.filter(F.col("_at") == F.col("_rank"))
     edge = F.struct("_u", *keys)
     return found.groupBy(*group).agg(

@@ -189,6 +189,16 @@ def test_exact_split_sizes_do_not_depend_on_partitions(spark, parts):
         spark.range(5_000), sizes, ["id"], seed=4).filter("split = 'test'").agg(F.sum("id")).first()[0]
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_exact_split_with_few_slices(spark, monkeypatch, slices):
+    df = spark.range(500).select("id", (F.col("id") % 2).alias("g"))
+    want = {r.id: r.split for r in splits.split_exact(df, {"a": 40, "b": 7}, ["id"], by=["g"], seed=4).collect()}
+    whole = {r.id: r.split for r in splits.split_exact(df, {"a": 40, "b": 600}, ["id"], seed=4).collect()}
+    monkeypatch.setattr(splits, "SLICES", slices)
+    assert want == {r.id: r.split for r in splits.split_exact(df, {"a": 40, "b": 7}, ["id"], by=["g"], seed=4).collect()}
+    assert whole == {r.id: r.split for r in splits.split_exact(df, {"a": 40, "b": 600}, ["id"], seed=4).collect()}
+
+
 def test_sample_per_group_and_small_groups(spark):
     df = spark.range(1_000).withColumn("g", F.when(F.col("id") < 990, 0).otherwise(1))
     got = splits.sample_n(df, 50, ["id"], ["g"], seed=1)
