@@ -36,6 +36,8 @@ PERCENT = 80
 SAFE_K = 32
 DEPTH = 3
 BLOCK_SETS = 512
+# Sets that a task remembers to have signed.
+SIGNED_KEYS = 200_000
 # Bits of the map that chooses the texts to be verified: 4 MiB.
 MAP_BITS = 1 << 25
 # Columns of a block's presence matrix that are multiplied at a time.
@@ -82,21 +84,39 @@ def signatures(shingles: np.ndarray, percent: int, all_bands: list[tuple[int, in
     return np.concatenate(out)
 
 
-def _described(docs: DataFrame, words: int, percent: int | None) -> DataFrame:
-    """(doc_id, text_hash, k1, k2, n), with ``signatures`` if a percentage is given."""
-    schema = "doc_id long, text_hash long, k1 long, k2 long, n long" + (", signatures array<long>" if percent else "")
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, k1, k2, n)"""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, all_bands = Shingler(words), bands(percent) if percent else []
+        shingler = Shingler(words)
         for batch in batches:
             sets = [shingler(t) for t in batch["text"]]
             keys = [set_key(s) for s in sets]
             out = pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n": [len(s) for s in sets]})
-            if percent:
-                out["signatures"] = [signatures(s, percent, all_bands).view(np.int64) if len(s) else [] for s in sets]
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, k1 long, k2 long, n long")
+
+
+def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(k1, signatures) of the sets; of equal sets that lie within ``SIGNED_KEYS`` others in a task, one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, all_bands, done = Shingler(words), bands(percent), set()
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                own = shingler(text)
+                key = set_key(own)
+                if len(own) and key not in done:
+                    if len(done) >= SIGNED_KEYS:
+                        done.clear()
+                    done.add(key)
+                    rows.append((key[0], signatures(own, percent, all_bands).view(np.int64)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["k1", "signatures"])
+
+    return docs.select("text").mapInPandas(run, "k1 long, signatures array<long>")
 
 
 def _text_hash() -> Column:
@@ -166,12 +186,11 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets
     rows and equal texts link; a null doc_id takes part and counts as no id, so it is a component_id only where the group has no other; extra columns are ignored;
     no rows give no rows. ``set_group`` names a row's component also where it has no id; null without shingles.
     """
-    slim = materialize(_described(docs, words, None))
+    slim = materialize(_described(docs, words))
     full = slim.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
 
-    # One row per distinct set. A partial group before the shuffle thins out copies.
-    distinct = _described(docs, words, percent).filter("n > 0").select("k1", "k2", "signatures").dropDuplicates(["k1", "k2"])
-    signed = distinct.select("k1", F.explode("signatures").alias("signature"))
+    # A task signs equal sets once, so a group of copies brings as many rows as it has tasks at most.
+    signed = _signed(docs, words, percent).select("k1", F.explode("signatures").alias("signature"))
     star = signed.withColumn("centre", F.min("k1").over(Window.partitionBy("signature")))
     edges = materialize(star.filter("k1 <> centre").select(F.col("k1").alias("a"), F.col("centre").alias("b")).distinct())
     clusters = materialize(connected_components(edges).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
