@@ -22,6 +22,10 @@ ENGINE_CONF = {
 }
 
 
+# Removes the shuffle files of a finished execution instead of waiting for the driver's garbage collector.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(app: str = "hailgrid", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark, with its work folder set; clusters bring their own."""
     builder = (
@@ -64,11 +68,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Cuts lineage for work that reads a result many times (cross-validation), so
     that losing an executor does not mean scanning the source again. Parquet
-    keeps later reads columnar and lets Spark see the table's size.
+    keeps later reads columnar and lets Spark see the table's size. What the write shuffled goes as soon
+    as it is done, so a job of many steps needs the disk of its largest step, not of all.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hailgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.parquet(path)
 
 
