@@ -12,9 +12,11 @@ bands where it could matter, an empty part is partitioned again with
 another hash; where k is at least ``SAFE_K``, linked sets that agree on empty parts
 alone have a chance under 1e-14, less than that of colliding hashes, and such parts are left out.
 
-Equal sets are one node from the start. Signature groups give star edges only; the
-components of these edges are compared within themselves, in blocks by matrix
-products, and a block gives each set's root, not its pairs.
+Equal sets are one node from the start. A signature's group gives star edges to its first set, so any two sets that share a signature
+are in one star. Within stars, parity sketches rule pairs out: a bit per few elements, and as each
+differing element turns one bit, two sets differ in at least as many elements as bits. The
+components of what is left are compared exactly within themselves, in blocks by matrix
+products. Both steps give each set's root, not its pairs.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ DEPTH = 3
 BLOCK_SETS = 512
 # Sets that a task remembers to have signed.
 SIGNED_KEYS = 200_000
+# A sketch has at most two to this power bits; rows of small stars that one task compares.
+MOST_BITS = 16
+STAR_ROWS = 5_000
 # Bits of the map that chooses the texts to be verified: 4 MiB.
 MAP_BITS = 1 << 25
 # Columns of a block's presence matrix that are multiplied at a time.
@@ -84,18 +89,92 @@ def signatures(shingles: np.ndarray, percent: int, all_bands: list[tuple[int, in
     return np.concatenate(out)
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """Bits that tell whether an odd number of elements fell on them, about four for each element."""
+    bits = 1 << min(MOST_BITS, max(8, (4 * len(shingles)).bit_length()))
+    where = (mix(shingles, 29) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(where, minlength=bits) & 1).tobytes()
+
+
+def _roots(count: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of ``count`` nodes that each reaches by the links (i, j)."""
+    root = np.arange(count)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (before == root).all():
+            return root
+
+
+def _possible(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Roots over the pairs whose sketches differ in no more bits than linked sets of their sizes can in elements."""
+    width = min(map(len, sketches))
+    rows = []
+    for s in sketches:
+        bits = np.frombuffer(s, dtype=np.uint64)
+        while len(bits) * 8 > width:  # half as many bits: the parities of two add up
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        rows.append(bits)
+    table, left, right = np.stack(rows), [], []
+    for i in range(len(rows) - 1):
+        differ = np.bitwise_count(table[i + 1 :] ^ table[i]).sum(axis=1, dtype=np.int64)
+        found = np.flatnonzero(differ <= (100 - percent) * (sizes[i] + sizes[i + 1 :]) // (100 + percent)) + i + 1
+        left.append(np.full(len(found), i))
+        right.append(found)
+    return _roots(len(rows), np.concatenate(left), np.concatenate(right))
+
+
+def _thinned(edges: DataFrame, sketches: DataFrame, percent: int, block_sets: int) -> DataFrame:
+    """Edges (a, b) between sets of a star (``edges``: a, and its centre b) that the sketches (k1, n, sketch) don't rule out, as roots.
+
+    Small stars share tasks; a large one is compared in pairs of blocks.
+    """
+    centres = edges.groupBy(F.col("b").alias("centre")).agg((F.count("*") + 1).alias("size"))
+    members = edges.select(F.col("a").alias("k1"), F.col("b").alias("centre")).union(centres.select(F.col("centre").alias("k1"), "centre"))
+    blocks = centres.select("centre", F.ceil(F.col("size") / block_sets).alias("blocks"))
+    groups = max(1, edges.count() // STAR_ROWS)
+    dealt = members.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    alone = F.when(F.col("blocks") > 1, F.col("centre"))
+    dealt = dealt.select(
+        "k1", "centre", alone.alias("alone"), F.when(alone.isNull(), F.pmod(F.xxhash64("centre"), F.lit(groups))).alias("part"),
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    )
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["centre", "k1"])
+        ids, n, sketches_of = group["k1"].to_numpy(), group["n"].to_numpy(), group["sketch"].tolist()
+        ends = [*np.flatnonzero(np.diff(group["centre"].to_numpy())) + 1, len(group)]
+        out, start = [], 0
+        for end in ends:
+            if end - start > 1:
+                out.append((ids[start:end], ids[start:end][_possible(n[start:end], sketches_of[start:end], percent)]))
+            start = end
+        a, b = (np.concatenate([x[i] for x in out]) if out else np.empty(0, dtype=np.int64) for i in (0, 1))
+        return pd.DataFrame({"a": a, "b": b})[a != b]
+
+    return dealt.join(sketches, "k1").groupBy("alone", "part", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def _described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, k1, k2, n)"""
+    """(doc_id, text_hash, k1, k2, n, sketch)"""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler(t) for t in batch["text"]]
             keys = [set_key(s) for s in sets]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n": [len(s) for s in sets]})
+            out = pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
+                    "n": [len(s) for s in sets], "sketch": [parity_sketch(s) if len(s) else None for s in sets],
+                }
+            )
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, k1 long, k2 long, n long")
+    return docs.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), "text").mapInPandas(run, "doc_id long, text_hash long, k1 long, k2 long, n long, sketch binary")
 
 
 def _signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -140,14 +219,7 @@ def _compare(sets: list[np.ndarray], percent: int) -> np.ndarray:
         present[row[a:b], column[a:b] - at] = 1
         both += present @ present.T
     inter = both.astype(np.int64)
-    i, j = np.nonzero(100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter))
-    root = np.arange(count)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, i, root[j])
-        root = root[root]
-        if (before == root).all():
-            return root
+    return _roots(count, *np.nonzero(100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)))
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -193,7 +265,9 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets
     signed = _signed(docs, words, percent).select("k1", F.explode("signatures").alias("signature"))
     star = signed.withColumn("centre", F.min("k1").over(Window.partitionBy("signature")))
     edges = materialize(star.filter("k1 <> centre").select(F.col("k1").alias("a"), F.col("centre").alias("b")).distinct())
-    clusters = materialize(connected_components(edges).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
+    sketches = slim.filter("n > 0").groupBy("k1").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    possible = materialize(_thinned(edges, sketches, percent, block_sets).distinct())
+    clusters = materialize(connected_components(possible).select(F.col("node").alias("k1"), F.col("component").alias("cluster")))
 
     # The sets that have a possible partner, from the text of one row each.
     members = materialize(full.join(clusters, "k1").select("k1", "k2", "cluster", "least").withColumn("id", F.monotonically_increasing_id()))
