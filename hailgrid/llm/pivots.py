@@ -28,6 +28,8 @@ PREFIX = 8
 SHARED = 2
 # One pivot for so many vectors, within these bounds; the pivots are held by every task.
 ROWS_PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 32, 2048
+# Rows drawn for each pivot wanted: groups that hold three quarters of the rows still leave enough.
+DRAWN = 4
 BLOCK_ROWS = 1024
 # Candidate pairs that are verified in one go.
 PAIRS = 1 << 17
@@ -36,42 +38,69 @@ DESCRIBED = "node long, dims int, weight long, unit array<double>, prefix array<
 LINKED = "node long, links long, root long"
 
 
-def choose_pivots(nodes: DataFrame, rows_per_pivot: int = ROWS_PER_PIVOT) -> dict[int, np.ndarray]:
-    """Reference points by vector length, those rows with the smallest hashes; at most ``MOST_PIVOTS`` are collected."""
+def _units(vectors: list) -> np.ndarray:
+    x = np.array(vectors, dtype=np.float64)
+    # Scaled first, so that neither huge nor tiny components lose the direction.
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def spread(drawn: np.ndarray, count: int, threshold: float = THRESHOLD) -> np.ndarray:
+    """The first ``count`` of the drawn unit vectors that lie more than twice the link angle from all before them.
+
+    A dense group so owns a pivot or two, not a share by its size. Were there many in it, which of them
+    are a member's nearest would be chance, and linked members would share none.
+    """
+    cut = 2 * threshold**2 - 1 if threshold > 0 else -1.0
+    chosen = np.empty((0, drawn.shape[1]))
+    for at in range(0, len(drawn), 256):
+        part = drawn[at : at + 256]
+        part = part[(part @ chosen.T < cut).all(axis=1)]
+        close, kept = part @ part.T >= cut, []
+        for i in range(len(part)):
+            if not close[i, kept].any():
+                kept.append(i)
+        chosen = np.concatenate([chosen, part[kept]])
+        if len(chosen) >= count:
+            break
+    return chosen[:count]
+
+
+def choose_pivots(nodes: DataFrame, rows_per_pivot: int = ROWS_PER_PIVOT, threshold: float = THRESHOLD) -> dict[int, np.ndarray]:
+    """Reference points by vector length, spread apart, from the rows with the smallest hashes; at most ``DRAWN`` times ``MOST_PIVOTS`` are collected."""
     count = min(MOST_PIVOTS, max(LEAST_PIVOTS, nodes.count() // rows_per_pivot))
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("dims", "vector").collect()
+    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(DRAWN * count).select("dims", "vector").collect()
     out: dict[int, list] = {}
     for r in rows:
         out.setdefault(r.dims, []).append(r.vector)
-    pivots = {k: np.array(v, dtype=np.float64) for k, v in out.items()}
-    return {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in pivots.items()}
+    return {k: spread(_units(v), count, threshold) for k, v in out.items()}
 
 
 def describe(nodes: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PREFIX) -> DataFrame:
-    """Unit vectors with the numbers of their nearest pivots, nearest first. A length without a pivot gets pivot 0 for all."""
+    """Unit vectors with the numbers of their nearest pivots, nearest first.
+
+    A length with no more than ``prefix`` pivots gets pivot 0 for all, as every list would hold every vector.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dims, rows in batch.groupby("dims"):
-                x = np.array(rows["vector"].tolist(), dtype=np.float64)
-                # Scaled first, so that neither huge nor tiny components lose the direction.
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _units(rows["vector"].tolist())
                 near = np.zeros((len(x), 1), dtype=np.int32)
-                if dims in pivots:
+                if dims in pivots and len(pivots[dims]) > prefix:
                     near = np.argsort(-(x @ pivots[dims].T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
                 yield pd.DataFrame({"node": rows["node"], "dims": dims, "weight": rows["weight"], "unit": list(x), "prefix": list(near)})
 
     return nodes.mapInPandas(run, DESCRIBED)
 
 
-def _shared(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose pivot lists share at least ``least`` numbers."""
+def _shared(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of rows have pivot lists that share at least ``least`` numbers."""
     names = np.unique(np.concatenate([a.ravel(), b.ravel()]))
     hot = np.zeros((2, max(len(a), len(b)), len(names)), dtype=np.float32)
     for side, x in enumerate((a, b)):
         hot[side, np.arange(len(x))[:, None], np.searchsorted(names, x)] = 1
-    return np.nonzero(hot[0, : len(a)] @ hot[1, : len(b)].T >= min(least, a.shape[1]) - 0.5)
+    return hot[0, : len(a)] @ hot[1, : len(b)].T >= min(least, a.shape[1]) - 0.5
 
 
 def _links(left: pd.DataFrame, right: pd.DataFrame | None, pivot: int, threshold: float, least: int) -> pd.DataFrame:
@@ -79,11 +108,12 @@ def _links(left: pd.DataFrame, right: pd.DataFrame | None, pivot: int, threshold
     both = left if right is None else pd.concat([left, right], ignore_index=True)
     unit, prefix = np.array(both["unit"].tolist()), np.array(both["prefix"].tolist())
     weight, node, n = both["weight"].to_numpy(), both["node"].to_numpy(), len(left)
+    # The product tells nearly which are near; those pairs are then verified as below, whatever the blocks.
+    x, y = (slice(None), slice(None)) if right is None else (slice(n), slice(n, None))
+    i, j = np.nonzero(_shared(prefix[x], prefix[y], least) & (unit[x] @ unit[y].T >= threshold - 1e-9))
     if right is None:
-        i, j = _shared(prefix, prefix, least)
         i, j = i[i < j], j[i < j]
     else:
-        i, j = _shared(prefix[:n], prefix[n:], least)
         j = j + n
     links, root = np.zeros(len(both), dtype=np.int64), np.arange(len(both))
     for at in range(0, len(i), PAIRS):
@@ -122,7 +152,7 @@ def near_duplicates(
     """
     rows = usable(vectors)
     nodes = materialize(rows.groupBy("vector", "dims").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
-    described = materialize(describe(nodes, choose_pivots(nodes, rows_per_pivot), prefix))
+    described = materialize(describe(nodes, choose_pivots(nodes, rows_per_pivot, threshold), prefix))
 
     lists = described.withColumn("pivot", F.explode("prefix"))
     sizes = lists.groupBy("pivot", "dims").count().select("pivot", "dims", F.ceil(F.col("count") / block_rows).alias("blocks"))

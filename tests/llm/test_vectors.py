@@ -102,3 +102,26 @@ def test_near_duplicates_odd_rows(spark):
     assert pivots.near_duplicates(odd(spark).filter("false")).count() == 0
     copies = spark.range(5000).selectExpr("id vec_id", "array(1.0D, 2.0D) embedding")
     assert {(r.n_links, r.component_id) for r in pivots.near_duplicates(copies).collect()} == {(4999, 0)}
+
+
+def test_near_duplicates_in_a_dense_group(spark):
+    rng = np.random.default_rng(7)
+    centre, x = np.eye(64)[0], rng.normal(size=(8000, 64))
+    x[:4000, 0] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:4000] = 0.98 * centre + np.sqrt(1 - 0.98**2) * x[:4000]
+    degree = (x @ x.T >= 0.9).sum(axis=1) - 1
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = pivots.near_duplicates(vectors).collect()
+    assert all(r.n_links <= degree[r.vec_id] for r in found)
+    assert sum(r.n_links for r in found) >= 0.9 * degree.sum()
+    assert {r.component_id for r in found if r.vec_id < 4000} == {0}
+
+
+def test_pivots_are_spread():
+    x = np.random.default_rng(3).normal(size=(300, 16))
+    x[:200] = x[0] + 0.1 * x[:200]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen = pivots.spread(x, 90, 0.9)
+    assert (chosen @ chosen.T - np.eye(len(chosen))).max() < 0.62 and (chosen @ x[0] > 0.62).sum() == 1
+    assert len(pivots.spread(x, 20, 0.9)) == 20
