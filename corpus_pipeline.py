@@ -15,7 +15,8 @@ from hailgrid.llm import credentials, langid, packing, partenum
 from hailgrid.llm.common import bounded_batches, table
 from hailgrid.session import materialize
 
-# A document whose best language scores less is taken for none of the learned ones.
+# A document whose best language scores less is taken for none of the learned ones. With L languages no best score is
+# under 1/L, so what resembles none of a few is told by langid's floors.
 LEAST_SCORE = 0.2
 
 
@@ -29,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = [c for c in docs.columns if c != "lang"]
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = langid.predict(docs.withColumnRenamed("lang", "_lang"), model)
+    told = langid.predict(docs.withColumnRenamed("lang", "_lang"), model, resembling=True)
     told = told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return told.select(*kept, F.coalesce("_lang", "lang_pred").alias("lang")).select(*docs.columns)
 

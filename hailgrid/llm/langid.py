@@ -31,6 +31,8 @@ RIDGE = 0.1
 # More labels than this are taken for an error in the label column.
 MAX_LABELS = 500
 UNDETERMINED = "und"
+# A text resembles a label if landmarks hold so much of what they hold of that label's median learned row.
+RESEMBLES = 0.25
 
 # A batch's presence matrix and the characters looked at in one go.
 MATRIX_CELLS = 1 << 21
@@ -66,6 +68,17 @@ def gram_set(text: str, max_n: int = MAX_N) -> np.ndarray:
     return np.flatnonzero(seen).astype(np.uint32)
 
 
+def longest_grams(text: str, max_n: int = MAX_N) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a text's n-grams of the greatest length, and how often each occurs."""
+    seen = np.zeros(1 << HASH_BITS, dtype=np.int64)
+    codes = code_points(text)
+    for at in range(0, len(codes), SEGMENT):
+        found, times = np.unique(gram_hashes(codes[at : at + SEGMENT + max_n - 1], max_n), return_counts=True)
+        seen[found] += times
+    grams = np.flatnonzero(seen)
+    return grams.astype(np.uint32), seen[grams]
+
+
 @dataclass
 class Model:
     """Landmark n-grams, their weights towards each landmark, and landmarks' weights towards each label."""
@@ -76,6 +89,7 @@ class Model:
     weights: np.ndarray  # landmarks x labels
     bias: np.ndarray
     max_n: int = MAX_N
+    floors: np.ndarray | None = None  # of each label, the least share a text must have to resemble it
 
     @property
     def width(self) -> int:
@@ -89,6 +103,17 @@ class Model:
     def scores(self, present: np.ndarray) -> np.ndarray:
         return self.kernel(present) @ self.weights + self.bias
 
+    def share(self, text: str) -> float:
+        """How much of a text's n-grams of the greatest length, repeats counted, the landmarks hold; 1 if it has none.
+
+        Unlike the scores, whose sum over the labels is the same for every text, it is low for what no label resembles.
+        """
+        codes, held, count = code_points(text), 0, 0
+        for at in range(0, len(codes), SEGMENT):
+            found = self.column[gram_hashes(codes[at : at + SEGMENT + self.max_n - 1], self.max_n)]
+            held, count = held + int((found >= 0).sum()), count + len(found)
+        return held / count if count else 1.0
+
     def presence(self, texts: list[str]) -> np.ndarray:
         present = np.zeros((len(texts), self.width), dtype=np.float32)
         for row, codes in enumerate(map(code_points, texts)):
@@ -100,8 +125,11 @@ class Model:
         return present
 
 
-def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, max_n: int = MAX_N) -> Model:
-    """Fit on n-gram sets and their labels. Landmarks are the first sets of each label, in turn."""
+def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, max_n: int = MAX_N, longest: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
+    """Fit on n-gram sets and their labels. Landmarks are the first sets of each label, in turn.
+
+    With the rows' ``longest_grams`` a floor is learned for each label; a landmark's own n-grams don't count for it.
+    """
     names = sorted(set(labels))
     queues = [[i for i, x in enumerate(labels) if x == name] for name in names]
     turns = [q[k] for k in range(max(map(len, queues))) for q in queues if k < len(q)]
@@ -133,6 +161,14 @@ def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMAR
     solved = np.linalg.solve(centred.T @ centred + ridge * np.eye(centred.shape[1]), centred.T @ (target - level))
     model.weights = (root @ solved).astype(np.float32)
     model.bias = (level - middle @ solved).astype(np.float32)
+    if longest is not None:
+        holders, shares = (own > 0).sum(axis=0), {name: [] for name in names}
+        for r, i in enumerate(turns):
+            found, times = column[longest[i][0]], longest[i][1]
+            others = np.where(found >= 0, holders[found], 0) - (r < len(chosen))
+            if len(times):
+                shares[labels[i]].append(times[others > 0].sum() / times.sum())
+        model.floors = np.array([RESEMBLES * np.median(shares[name]) if shares[name] else 0.0 for name in names])
     return model
 
 
@@ -170,18 +206,20 @@ def fit(
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             grams = [gram_set(t).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "h": batch["h"], "grams": grams})
+            longest = [tuple(x.tobytes() for x in longest_grams(t)) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "h": batch["h"], "grams": grams, "long": [x for x, _ in longest], "times": [x for _, x in longest]})
 
-    found = hashed.filter(chosen).mapInPandas(sets, "label string, h long, grams binary")
-    sample = found.groupBy("label", "h").agg(F.first("grams").alias("grams")).orderBy("label", "h").collect()
-    return fit_sets([np.frombuffer(r.grams, dtype=np.uint32) for r in sample], [r.label for r in sample], landmarks, ridge)
+    found = hashed.filter(chosen).mapInPandas(sets, "label string, h long, grams binary, long binary, times binary")
+    sample = found.groupBy("label", "h").agg(F.first(F.struct("grams", "long", "times")).alias("x")).select("label", "h", "x.*").orderBy("label", "h").collect()
+    longest = [(np.frombuffer(r.long, dtype=np.uint32), np.frombuffer(r.times, dtype=np.int64)) for r in sample]
+    return fit_sets([np.frombuffer(r.grams, dtype=np.uint32) for r in sample], [r.label for r in sample], landmarks, ridge, longest=longest)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", resembling: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1, the best label's regression value mapped from -1..1).
 
     A null text, one without letters, and every text if there is no model: ``und``
-    with score 0. Ties go to the first label in order. All columns of ``docs`` are kept;
+    with score 0. With ``resembling`` also a text whose share is under the floor of its best label. Ties go to the first label in order. All columns of ``docs`` are kept;
     columns named lang_pred or score are replaced; repeated rows are scored each; no rows give no rows.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -200,6 +238,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 part = known[at : at + step]
                 values = fitted.scores(fitted.presence([texts[i] for i in part]))
                 for i, best, value in zip(part, values.argmax(axis=1), values.max(axis=1)):
+                    if resembling and fitted.floors is not None and fitted.share(texts[i]) < fitted.floors[best]:
+                        continue
                     names[i] = fitted.labels[best]
                     scores[i] = float(min(1.0, max(0.0, (1 + value) / 2)))
             columns = [batch.column(c) for c in kept]

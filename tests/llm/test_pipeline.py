@@ -1,5 +1,8 @@
 """The pipeline, stage by stage, against brute force on a small fixture."""
 
+import random
+import string
+
 import corpus_pipeline
 from test_credentials import masked
 from test_packing import check
@@ -44,6 +47,16 @@ def test_stages(spark):
     check(pieces, [(d, masked(kept[d].text)) for d in ids])
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    draw = random.Random(5)
+    texts = ["Этот текст написан на языке, которого модель не знает. " * 5, "Η γλώσσα αυτή δεν διδάχθηκε ποτέ. " * 5, "这段文字用模型没有学过的语言写成。" * 5]
+    texts += ["".join(draw.choice(letters) for _ in range(600)) for letters in (string.ascii_letters + string.digits + "+/", string.ascii_lowercase + " ", "asdfghjkl;")]
+    odd = spark.createDataFrame([(20_000 + i, t, None, "s", len(t)) for i, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["language_id"](spark, docs.union(odd), FOLDER).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("false")
     for name, stage in corpus_pipeline.STAGES:
