@@ -35,7 +35,12 @@ KINDS = (
     ("linked_endpoint", ENDPOINT, 0, 8),
 )
 BASE = ("assign", "access", "hex")
-RANK = {kind: i for i, (kind, *_) in enumerate(KINDS)}
+# Weak secrets that hold a slash, besides those above. An address is taken as one match, so its path is no secret.
+SLASHED = ("linked_slashed", r"""://[^\s"'<>?#,;|]*|[A-Za-z0-9+/_=-]{24,}""", 0, 24)
+RANK = {kind: i for i, (kind, *_) in enumerate((*KINDS, SLASHED))}
+# Random text changes between small, capital and digit at two of three letters, the words of a path seldom:
+# so many letters, slashes left out, to a run of one class at most.
+RUN_LENGTH = 2.5
 # Maximal runs of one class of characters: asking for the least length in the pattern finds the same runs faster.
 RUNS = {HEX: r"[0-9a-f]{32,}", WEAK_SECRET: r"[A-Za-z0-9+_=-]{24,}"}
 
@@ -58,6 +63,11 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
         ok = F.char_length(F.regexp_extract(match, pattern, group)) >= least
         if kind == "linked_secret":
             ok = ok & match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+        if kind == SLASHED[0]:
+            mixed = match.rlike("[0-9]") & match.rlike("[A-Z]") & match.rlike("[a-z]")
+            runs = F.regexp_count(match, F.lit("[a-z]+|[A-Z]+|[0-9]+|[+_=-]+"))
+            letters = F.char_length(F.translate(match, "/", ""))
+            ok = ok & match.contains("/") & ~match.startswith("://") & mixed & (letters <= RUN_LENGTH * runs)
         return F.struct(F.lit(RANK[kind]).alias("rank"), i.alias("i"), pair["gap"].alias("gap"), F.char_length(match).alias("length"), ok.alias("ok"))
 
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("match"))
@@ -87,7 +97,7 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     repeated rows are scanned each; other columns are ignored; no rows give no rows.
     """
     text = F.col("text")
-    found = F.flatten(F.filter(F.array(*[_matches(text, *k) for k in KINDS]), lambda x: x.isNotNull()))
+    found = F.flatten(F.filter(F.array(*[_matches(text, *k) for k in (*KINDS, SLASHED)]), lambda x: x.isNotNull()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = materialize(with_row_id(rows.select("doc_id", F.xxhash64("text", F.length("text")).alias("text_hash"), found.alias("found"))))
 
@@ -99,6 +109,9 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = parts.filter(F.col("rank") < len(BASE))
     weak = {k: parts.filter(F.col("rank") == RANK[k]) for k in ("linked_id", "linked_secret", "linked_endpoint")}
     secrets = _near(weak["linked_secret"], base, 0, "left_anti")
+    # An assignment covers all of a slashed run; long hex or an access key only a part, which leaves the rest to be found.
+    slashed = _near(parts.filter(F.col("rank") == RANK[SLASHED[0]]), base.filter(F.col("rank") == RANK["assign"]), 0, "left_anti")
+    secrets = secrets.union(slashed)
     strong_secrets = base.filter(F.col("rank") != RANK["access"])
     identifiers = base.filter(F.col("rank") == RANK["access"]).union(weak["linked_id"])
     linked_secret = _near(secrets, identifiers, SCOPE, "left_semi")
