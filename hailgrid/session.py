@@ -71,6 +71,11 @@ def materialize(df: DataFrame) -> DataFrame:
     keeps later reads columnar and lets Spark see the table's size. What the write shuffled goes as soon
     as it is done, so a job of many steps needs the disk of its largest step, not of all.
     """
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``materialize`` with the path of the table, for jobs of many steps that ``discard`` a step's table after the next."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hailgrid-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
@@ -79,7 +84,13 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``written`` that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # Rows up to which a computed lookup table is handed to every task.
