@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from hailgrid.llm import centroids, impact, pivots
 from hailgrid.llm import credentials as c
 from hailgrid.llm import licenses as li
-from hailgrid.llm import pivots
 
 
 def _quoted(text: str) -> str:
@@ -149,6 +149,50 @@ FROM every JOIN found USING (r) LEFT JOIN counts USING (r)
 """
 
 
+WHOLE = "[floor(256 * x)::BIGINT FOR x IN embedding::DOUBLE[]]"
+FINITE = "len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _clusters(k: int, rounds: int, dims: int, seed: int) -> str:
+    def nearest(t: int) -> str:
+        gap = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v.v, c.c)])"
+        return f"""
+a{t} AS (
+  SELECT r, arg_min(j, (square, j)) AS j, min(square) AS square
+  FROM (SELECT r, j, {gap}::BIGINT AS square FROM kept v CROSS JOIN c{t} c) GROUP BY r)"""
+
+    def moved(t: int) -> str:
+        return f"""
+c{t + 1} AS (
+  SELECT j, coalesce(m, c) AS c FROM c{t} LEFT JOIN (
+    SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY d) AS m
+    FROM (SELECT j, d, sum(v[d])::BIGINT AS s, count(*) AS n FROM a{t} JOIN kept USING (r), range(1, {dims + 1}) t(d) GROUP BY j, d) GROUP BY j) USING (j))"""
+
+    steps = ",".join(step for t in range(rounds) for step in (nearest(t), moved(t)))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, {WHOLE} AS v FROM embeddings WHERE len(embedding) = {dims} AND {FINITE}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c
+  FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT {k})),
+{steps},{nearest(rounds)}
+SELECT vec_id, j::INTEGER AS cluster, square AS distance, sum(square) OVER (PARTITION BY j)::BIGINT AS cluster_inertia,
+  sum(square) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (j)
+"""
+
+
+def _products(every: int, k: int) -> str:
+    return f"""
+WITH kept AS (SELECT vec_id, {WHOLE} AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND {FINITE}),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, x.v)])::BIGINT AS score
+  FROM kept q JOIN kept x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % {every} = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= {k}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_credential_linking": _credentials(),
@@ -156,4 +200,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_containment": _licenses(),
         "op9_partenum_jaccard": _jaccard(words=4, percent=85),
         "op10_pivot_permutation": _cosine(pivots.THRESHOLD),
+        "op12_ns_centroids": _clusters(centroids.CENTROIDS, centroids.ROUNDS, centroids.DIMS, seed=2),
+        "op13_impact_topk": _products(every=50, k=impact.K),
     }
