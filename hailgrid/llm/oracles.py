@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hailgrid.llm import centroids, impact, pivots
+from hailgrid.llm import centroids, collocations, impact, pivots
 from hailgrid.llm import credentials as c
 from hailgrid.llm import licenses as li
 
@@ -149,6 +149,37 @@ FROM every JOIN found USING (r) LEFT JOIN counts USING (r)
 """
 
 
+def _collocations() -> str:
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+places AS (SELECT lang, ws, i, unnest(range(1, {collocations.WORDS + 1})) AS k FROM starts),
+spelled AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM places WHERE i + k - 1 <= len(ws)),
+grams AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM spelled GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT * FROM grams WHERE f >= {collocations.LEAST}),
+candidates AS MATERIALIZED (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM often WHERE k > 1),
+cut AS (SELECT lang, phrase, a, size, ws, unnest(range(1, size)) AS k FROM candidates),
+parts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS first_part, array_to_string(ws[k + 1:size], ' ') AS rest FROM cut),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, p.f AS l, s.f AS r, c.k, ({collocations.SCALE}::HUGEINT * c.a // (p.f + s.f))::BIGINT AS score
+  FROM parts c JOIN often p ON p.lang = c.lang AND p.phrase = c.first_part JOIN often s ON s.lang = c.lang AND s.phrase = c.rest),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+begun AS (SELECT lang, a, size, ws, unnest(range(1, size)) AS i FROM candidates WHERE size > 2),
+ended AS (SELECT lang, a, size, ws, i, unnest(range(i + 1, size + 1)) AS j FROM begun),
+inside AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS longer FROM ended WHERE j - i + 1 < size GROUP BY ALL),
+covered AS (SELECT lang, phrase FROM candidates JOIN inside USING (lang, phrase) WHERE 100::HUGEINT * longer >= {collocations.COVERED} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest ANTI JOIN covered USING (lang, phrase) JOIN totals USING (lang)
+QUALIFY rank <= {collocations.TOP}
+"""
+
+
 WHOLE = "[floor(256 * x)::BIGINT FOR x IN embedding::DOUBLE[]]"
 FINITE = "len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
 
@@ -200,6 +231,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_containment": _licenses(),
         "op9_partenum_jaccard": _jaccard(words=4, percent=85),
         "op10_pivot_permutation": _cosine(pivots.THRESHOLD),
+        "op11_trie_collocations": _collocations(),
         "op12_ns_centroids": _clusters(centroids.CENTROIDS, centroids.ROUNDS, centroids.DIMS, seed=2),
         "op13_impact_topk": _products(every=50, k=impact.K),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hailgrid.llm import bpe, centroids, credentials, graph_ann, impact, kdtree, langid, licenses, oracles, packing, partenum, pivots, warc
+from hailgrid.llm import bpe, centroids, collocations, credentials, graph_ann, impact, kdtree, langid, licenses, oracles, packing, partenum, pivots, warc
 from hailgrid.llm.common import bounded_batches, table
 from hailgrid.session import shared_folder
 
@@ -61,6 +61,10 @@ def op10_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_ns_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op8_string_kernel_langid": op8_string_kernel_langid,
         "op9_partenum_jaccard": op9_partenum_jaccard,
         "op10_pivot_permutation": op10_pivot_permutation,
+        "op11_trie_collocations": op11_trie_collocations,
         "op12_ns_centroids": op12_ns_centroids,
         "op13_impact_topk": op13_impact_topk,
     }
