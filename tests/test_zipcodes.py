@@ -89,3 +89,24 @@ def test_no_centroids_and_missing(spark, rows, data):
     assert labelled.filter(F.col("zip") == "missing").count() == len(rides)
     assert zipcodes.unexplained_missing(labelled).filter("pickup_latitude = 0").count() == 0
     assert workflows.label_rides(r, spark.createDataFrame([], PLACE), 1.0).count() == 0
+
+
+def test_lists_are_short_on_the_given_tables(spark):
+    t = Tables(spark, "/root/testdata/sf0.01")
+    places = zipcodes._distinct_places(t.centroids())
+    index, levels, entries = zipcodes.build_index(places, *zipcodes._bucket_sizes(41.0, 1.0), 1.0)
+    sizes = index.agg(F.avg(F.size("_near")), F.max(F.size("_near")), F.sum(F.size("_near"))).first()
+    assert sizes[0] < 5 and sizes[1] <= zipcodes.LEAF + zipcodes.MORE * (len(levels) - 1) and sizes[2] == entries and len(levels) > 1
+
+
+def test_a_crowd_of_places_builds_no_long_list(spark):
+    # 20,000 places within some 300 m, beside others kilometres apart
+    crowd = spark.range(20_000).selectExpr(
+        "lpad(id, 6, '0') zip", "40.7 + (pmod(xxhash64(id), 1000003) / 1000003) * 0.003 lat", "-74.0 + (pmod(xxhash64(id, 7), 1000003) / 1000003) * 0.004 lon"
+    )
+    places = crowd.union(spark.range(100).selectExpr("concat('x', id)", "40.5 + id * 0.005", "-74.1 + id * 0.003"))
+    index, levels, _ = zipcodes.build_index(places, *zipcodes._bucket_sizes(41.1, 1.0), 1.0)
+    assert index.agg(F.max(F.size("_near"))).first()[0] <= zipcodes.LEAF + zipcodes.MORE * (len(levels) - 1) and 3 < len(levels) < 9
+    # each place is the nearest one to itself
+    held = index.select(F.explode("_near.zip").alias("zip")).distinct().count()
+    assert held == 20_100
