@@ -87,3 +87,11 @@ def hour_key_from_text(c: Column | str) -> Column:
 
 def with_weekday_hour(df, c: str = "pickup_datetime"):
     return df.withColumns({"weekday": weekday(c), "hour": F.hour(c)})
+
+
+def micros(t: Column | str) -> Column:
+    """Microseconds since 1970 of a zone-free time, whatever the session's zone."""
+    t = F.col(t) if isinstance(t, str) else t
+    days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+    return days * 86_400_000_000 + F.hour(t).cast("long") * 3_600_000_000 + F.minute(t).cast("long") * 60_000_000 + seconds

@@ -99,3 +99,22 @@ def completeness(metar: DataFrame) -> DataFrame:
 def on_days(metar: DataFrame, days: list[int]) -> DataFrame:
     """Records of the given days of the month, for looking at gaps."""
     return metar.filter(F.dayofmonth("datetime").isin(days))
+
+
+def missing_stretches(hours: DataFrame, at: str = "datetime") -> DataFrame:
+    """Runs of hours without a row between the first and the last one: (first_hour, last_hour, n_hours).
+
+    Hours are put in order within their month; a month's last hour is then joined to the first one of the next month that
+    has any, so no task orders more than a month of hours or the list of months.
+    """
+    present = hours.select(clock.hour_floor(at).alias("hour")).filter(F.col("hour").isNotNull()).distinct()
+    present = present.withColumn("month", F.date_format("hour", "yyyy-MM"))
+    within = present.withColumn("next", F.lead("hour").over(Window.partitionBy("month").orderBy("hour")))
+    months = present.groupBy("month").agg(F.min("hour").alias("first"), F.max("hour").alias("hour"))
+    # One row for each month.
+    across = months.withColumn("next", F.lead("first").over(Window.orderBy("first"))).select("hour", "month", "next")
+    hour = F.expr("INTERVAL 1 HOUR")
+    steps = within.filter(F.col("next").isNotNull()).unionByName(across.filter(F.col("next").isNotNull()))
+    gaps = steps.filter(F.col("next") > F.col("hour") + hour)
+    length = ((clock.micros("next") - clock.micros("hour")) / 3_600_000_000).cast("long") - 1
+    return gaps.select((F.col("hour") + hour).alias("first_hour"), (F.col("next") - hour).alias("last_hour"), length.alias("n_hours"))

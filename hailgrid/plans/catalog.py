@@ -186,6 +186,19 @@ def weather_completeness(t: Tables) -> DataFrame:
     return weather.completeness(t.metar())
 
 
+@query
+def weather_gaps(t: Tables) -> DataFrame:
+    """Missing stretches of the routine hourly precipitation."""
+    return weather.missing_stretches(weather.clean_precip(t.metar()))
+
+
+@query
+def rides_nearest_weather(t: Tables) -> DataFrame:
+    """Rides with the readings nearest in time, at most ten minutes away."""
+    readings = weather.filter_numerical(weather.filter_numerical(t.metar(), "fahrenheit"), "precip_in")
+    return joins.join_nearest_reading(t.rides(), readings, minutes=10).select("ride_id", "pickup_datetime", "datetime", "fahrenheit", "precip_in")
+
+
 @query
 def weather_day_filters(t: Tables) -> DataFrame:
     return weather.on_days(t.raw_metar().withColumnRenamed("valid", "datetime"), [2, 5, 6, 31])

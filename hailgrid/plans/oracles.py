@@ -439,6 +439,18 @@ def oracle_sql() -> dict[str, str]:
     q["weather_completeness"] = _with(
         """SELECT strftime(valid, '%m/%d') AS month_day, count(*) AS n_records,
                   count(*) FILTER (WHERE minute(valid) = 51) AS n_routine FROM raw_metar GROUP BY 1""", "raw_metar")
+    q["weather_gaps"] = _with(
+        """SELECT hour + INTERVAL 1 HOUR AS first_hour, next - INTERVAL 1 HOUR AS last_hour, date_diff('hour', hour, next) - 1 AS n_hours
+           FROM (SELECT hour, lead(hour) OVER (ORDER BY hour) AS next FROM (SELECT DISTINCT datetime AS hour FROM precip))
+           WHERE next > hour + INTERVAL 1 HOUR""", "precip")
+    q["rides_nearest_weather"] = _with(
+        r"""SELECT ride_id, pickup_datetime, datetime, fahrenheit, precip_in FROM rides LEFT JOIN (
+              SELECT t, datetime, fahrenheit, precip_in FROM (SELECT DISTINCT pickup_datetime AS t FROM rides) JOIN (
+                SELECT valid AS datetime, TRY_CAST(tmpf AS DOUBLE) AS fahrenheit, TRY_CAST(p01i AS DOUBLE) AS precip_in FROM raw_metar
+                WHERE regexp_full_match(tmpf, '-?\d+(\.\d+)?') AND regexp_full_match(p01i, '-?\d+(\.\d+)?'))
+              ON datetime BETWEEN t - INTERVAL 10 MINUTE AND t + INTERVAL 10 MINUTE
+              QUALIFY row_number() OVER (PARTITION BY t ORDER BY abs(epoch_us(datetime) - epoch_us(t)), datetime, fahrenheit, precip_in) = 1)
+            ON t = pickup_datetime""", "rides", "raw_metar")
     q["weather_day_filters"] = _with(
         "SELECT event_id, valid AS datetime, tmpf, p01i FROM raw_metar WHERE day(valid) IN (2, 5, 6, 31)", "raw_metar")
     q["precip_histogram"] = _histogram("precip", "precip_in", 10, "WHERE precip_in < 1", "precip")

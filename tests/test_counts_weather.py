@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -125,3 +126,39 @@ def test_box_filter_reaches_a_parquet_scan_and_no_python_runs(spark, some_rides,
     assert "GreaterThanOrEqual(pickup_latitude,40.5)" in scan and "LessThanOrEqual(pickup_longitude,-73.7)" in scan
     assert "fare" not in scan.split("ReadSchema")[1]
     assert "Python" not in plan
+
+
+def _at(*minutes):
+    return [datetime(2024, 3, 1) + timedelta(minutes=m) for m in minutes]
+
+
+def test_nearest_reading_on_either_side(spark):
+    rng = random.Random(3)
+    times = _at(*[rng.randrange(0, 4000) / 4 for _ in range(300)], 500, 500, 0)
+    held = _at(*[rng.randrange(0, 4000) / 4 for _ in range(60)], *[100 + k / 60 for k in range(30)], 2000)
+    rides = [(i, t, 1.0) for i, t in enumerate(times)] + [(900, None, 1.0)]
+    readings = [(t, float(k % 7), "x") for k, t in enumerate(held + held[:10])] + [(None, 0.0, "x")]
+    r = spark.createDataFrame(rides, "ride_id int, pickup_datetime timestamp_ntz, tmpf double")
+    w = spark.createDataFrame(readings, "datetime timestamp_ntz, tmpf double, note string")
+    for minutes in (1, 7, 60):
+        limit = timedelta(minutes=minutes)
+        want = []
+        for i, t, _ in rides:
+            near = [(abs(x - t), x, v) for x, v, _ in readings if x is not None and t is not None and abs(x - t) <= limit]
+            want.append((i, *(min(near)[1:] if near else (None, None))))
+        got = joins.join_nearest_reading(r, w, minutes)
+        assert got.columns == ["ride_id", "pickup_datetime", "tmpf", "datetime", "reading_tmpf", "note"]
+        key = lambda x: x[0]
+        assert sorted(map(tuple, got.select("ride_id", "datetime", "reading_tmpf").collect()), key=key) == want
+        assert joins.join_nearest_reading(r, w, minutes, how="inner").count() == sum(x[1] is not None for x in want)
+    assert joins.join_nearest_reading(r, w.filter("false"), 5).filter("datetime IS NULL").count() == len(rides)
+
+
+def test_missing_stretches_cross_months(spark):
+    start = datetime(2024, 1, 30)
+    hours = [start + timedelta(hours=h) for h in (0, 1, 1, 2, 5, 6, 60, 61, 2000, 2001)] + [None]
+    rows = spark.createDataFrame([(h + timedelta(minutes=51) if h else None,) for h in hours], "datetime timestamp_ntz")
+    got = sorted(tuple(r) for r in weather.missing_stretches(rows).collect())
+    at = lambda h: start + timedelta(hours=h)
+    assert got == [(at(3), at(4), 2), (at(7), at(59), 53), (at(62), at(1999), 1938)]
+    assert weather.missing_stretches(rows.limit(1)).count() == 0
