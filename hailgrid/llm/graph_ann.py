@@ -5,6 +5,9 @@ enter the graph in batches: a greedy search from the medoid proposes neighbours,
 relaxed distance pruning keeps an edge only if no kept one is ``ALPHA`` times nearer to its end, so
 edges stay diverse. Every query then goes through every shard by beam search, and the shards' nearest are merged.
 
+Distances in a graph are 32-bit. So that neither large nor small components lose them, a shard holds vectors of about the same
+magnitude, scaled by a power of two; a query of another magnitude is compared with every row of the shard, exactly.
+
 Rows with equal vectors are one node that carries its smallest ids, as many as a
 result can show, so groups of copies neither fill a shard nor hide each other.
 """
@@ -30,10 +33,29 @@ ALPHA = 1.2
 BATCH = 256
 STRIDE = 4
 
-INDEX = "shard long, dims int, node int, entry boolean, ids array<long>, vector array<double>, edges array<int>"
+# Vectors whose largest components lie within so many powers of two are of one magnitude; 0 is that of components about 1.
+MAGNITUDE_BITS = 48
+
+INDEX = "shard long, dims int, magnitude int, node int, entry boolean, ids array<long>, vector array<double>, edges array<int>"
 FOUND = "query_id long, vec_id long, score double"
 
 
+def magnitude(vectors: np.ndarray) -> np.ndarray:
+    """The magnitude of each row."""
+    exponent = np.frexp(np.abs(vectors).max(axis=1))[1]
+    return (exponent + MAGNITUDE_BITS // 2) // MAGNITUDE_BITS
+
+
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, scaled where squares would overflow."""
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((rows - query) ** 2).sum(axis=1))
+    if not np.isfinite(d).all():
+        large = ~np.isfinite(d)
+        d[large] = np.ldexp(np.sqrt(((np.ldexp(rows[large], -600) - np.ldexp(query, -600)) ** 2).sum(axis=1)), 600)
+    return d
+
+
 def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` nearest nodes met by each query, nearest first: (nodes, squared distances); -1 and inf pad.
 
@@ -156,25 +178,34 @@ def build_index(
     nodes = vectors.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("vector", "dims").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = materialize(nodes)
     shards = max(1, -(-nodes.count() // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)))
+    largest = F.array_max(F.transform("vector", F.abs))
+    # The same as ``magnitude`` but for rounding at its bounds, so a shard's own is kept with it.
+    level = F.floor((F.floor(F.log2(largest)) + 1 + MAGNITUDE_BITS // 2) / MAGNITUDE_BITS).cast("int")
+    dealt = nodes.withColumns({"shard": F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)), "magnitude": level})
 
     def build(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(first=[x[0] for x in rows["ids"]]).sort_values("first").reset_index(drop=True)
-        edges, entry = build_graph(np.array(rows["vector"].tolist(), dtype=np.float32), degree, beam, alpha)
+        exact = np.array(rows["vector"].tolist(), dtype=np.float64)
+        edges, entry = build_graph(_scaled(exact, key[2]), degree, beam, alpha)
         return pd.DataFrame(
             {
-                "shard": key[0], "dims": key[1], "node": range(len(rows)), "entry": np.arange(len(rows)) == entry,
+                "shard": key[0], "dims": key[1], "magnitude": key[2], "node": range(len(rows)), "entry": np.arange(len(rows)) == entry,
                 "ids": rows["ids"], "vector": rows["vector"], "edges": [x[x >= 0] for x in edges.astype(np.int32)],
             }
         )
 
-    return materialize(dealt.groupBy("shard", "dims").applyInPandas(build, INDEX))
+    return materialize(dealt.groupBy("shard", "dims", "magnitude").applyInPandas(build, INDEX))
+
+
+def _scaled(vectors: np.ndarray, level: int) -> np.ndarray:
+    return np.ldexp(vectors, -MAGNITUDE_BITS * int(level)).astype(np.float32)
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of the index for each query (vec_id, vector, dims): (query_id, rank, vec_id, score).
 
-    Queries meet shards in blocks, so a task holds one shard and at most about one block.
+    Queries meet shards in blocks, so a task holds one shard and at most about one block. The shards of one number, as many as
+    there are magnitudes, are searched one after the other.
     """
     blocks = max(1, -(-queries.count() // query_block))
     last = index.agg(F.max("shard")).first()[0] or 0
@@ -184,26 +215,18 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     def search(key, nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if nodes.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        nodes = nodes.sort_values("node")
-        exact = np.array(nodes["vector"].tolist(), dtype=np.float64)
-        edges = np.full((len(nodes), max(1, max(map(len, nodes["edges"])))), -1, dtype=np.int64)
-        for i, x in enumerate(nodes["edges"]):
-            edges[i, : len(x)] = x
-        ids = nodes["ids"].tolist()
-        entry = int(nodes["entry"].to_numpy().argmax())
-        points = exact.astype(np.float32)
+        wanted = np.array(asked["vector"].tolist(), dtype=np.float64)
+        levels = magnitude(wanted)
         out = []
-        for at in range(0, len(asked), BATCH):
-            part = asked.iloc[at : at + BATCH]
-            wanted = np.array(part["vector"].tolist(), dtype=np.float64)
-            found, _ = beam_search(points, edges, entry, wanted.astype(np.float32), min(max(beam, k + 1), len(nodes)))
-            for query, own, near in zip(part["vec_id"], wanted, found):
-                near = near[near >= 0]
-                d = np.sqrt(((exact[near] - own) ** 2).sum(axis=1))
-                pairs = [(x, i) for x, node in zip(d[np.argsort(d, kind="stable")], near[np.argsort(d, kind="stable")]) for i in ids[node] if i != query]
-                # Beyond the k-th distance nothing can count; ties at it are kept for the smaller id.
-                bound = sorted(x for x, _ in pairs)[k - 1] if len(pairs) > k else np.inf
-                out += sorted((query, i, x) for x, i in pairs if x <= bound)
+        for level, part in nodes.groupby("magnitude"):
+            part = part.sort_values("node")
+            exact = np.array(part["vector"].tolist(), dtype=np.float64)
+            ids = part["ids"].tolist()
+            for at, near in _candidates(part, exact, int(level), wanted, levels, k, beam):
+                query, d = asked["vec_id"].iloc[at], distances(exact[near], wanted[at])
+                order = np.argsort(d, kind="stable")
+                pairs = [(x, i) for x, node in zip(d[order], near[order]) for i in ids[node] if i != query]
+                out += [(query, i, x) for x, i in sorted(pairs)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     met = held.groupBy("shard", "dims", "block").cogroup(asked.groupBy("shard", "dims", "block")).applyInPandas(search, FOUND)
@@ -211,6 +234,22 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _candidates(part: pd.DataFrame, exact: np.ndarray, level: int, wanted: np.ndarray, levels: np.ndarray, k: int, beam: int):
+    """(query, nodes) of a shard: those the beam met for a query of the shard's magnitude, all for others."""
+    edges = np.full((len(part), max(1, max(map(len, part["edges"])))), -1, dtype=np.int64)
+    for i, x in enumerate(part["edges"]):
+        edges[i, : len(x)] = x
+    entry = int(part["entry"].to_numpy().argmax())
+    points, same = _scaled(exact, level), np.flatnonzero(levels == level)
+    for start in range(0, len(same), BATCH):
+        some = same[start : start + BATCH]
+        found, _ = beam_search(points, edges, entry, _scaled(wanted[some], level), min(max(beam, k + 1), len(part)))
+        for at, near in zip(some, found):
+            yield at, near[near >= 0]
+    for at in np.flatnonzero(levels != level):
+        yield at, np.arange(len(part))
+
+
 def nearest(vectors: DataFrame, query_every: int, k: int = 10, **settings) -> DataFrame:
     """Search every row whose id is divisible by ``query_every`` among all others.
 

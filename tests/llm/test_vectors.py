@@ -57,6 +57,28 @@ def test_ann_large_group_of_copies(spark):
     assert {r.score for r in got} == {0.0}
 
 
+@pytest.mark.parametrize("large", [1e25, 1e39, 1e300])
+def test_ann_large_components(spark, large):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 8))
+    x[100, 3], x[101, 0], x[200, 5], x[7] = large, -large, 1e-30, rng.normal(size=8) * 1e-20
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in graph_ann.nearest(vectors, 100, 10, shard_rows=500).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 1500, 100):
+        d = graph_ann.distances(x, x[q])
+        want = sorted((d[j], j) for j in range(1500) if j != q)[:10]
+        got = sorted(found[q])
+        assert len(got) == 10 and all(s == d[i] for _, i, s in got)
+        if q == 100:
+            assert [i for _, i, _ in got] == [i for _, i in want]
+        hits += len({i for _, i, _ in got} & {i for _, i in want})
+    assert hits >= 0.9 * 150
+
+
 def components(pairs, ids):
     root = {i: i for i in ids}
     changed = True
