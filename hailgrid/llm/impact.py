@@ -4,7 +4,7 @@ Vectors are whole numbers. In a shard every dimension has a postings list of the
 equal quantised impact and ordered by its size, largest first. A query opens the segments of all dimensions by
 falling product of its own component and the impact, in steps of halving that product. What a
 vector can still gain is bounded from both sides: by the products left, and by the norms of the components of query and
-vector that have not met. The vectors whose upper bound reaches the k-th lower bound are the possible members; a query
+vector that have not met. The vectors whose upper bound reaches the k-th best of some exact products are the possible members; a query
 stops once these are proven few, or when all segments are done, and they are rescored exactly.
 
 Rows with equal vectors are one node that carries its smallest ids, as many as a result can show.
@@ -28,7 +28,7 @@ K = 5
 SHARD_ROWS = 8192
 # Quantised sizes of impact in a shard, and possible members (a share of the nodes) at which a query stops: rescoring one costs less than its postings.
 LEVELS = 128
-FEW = 1 / 8
+FEW = 1 / 4
 STEP = 0.5
 # From this size on a component is handled as a Python integer: below it, products of up to MOST_DIMS components fit 64 bits.
 WIDE = 1 << 25
@@ -50,10 +50,10 @@ class Postings:
         sizes = np.array([len(s[3]) for s in segments], dtype=np.int64)
         impact, sign = (np.array([s[i] for s in segments], dtype=np.float64) for i in (1, 2))
         # A segment's vectors count with its middle; half its width is the error.
-        self.half = (width - 1) / 2
-        self.members = np.concatenate([s[3] for s in segments]) if segments else np.empty(0, dtype=np.int64)
+        self.half, self.points = (width - 1) / 2, points
+        self.members = np.concatenate([s[3] for s in segments]).astype(np.int64) if segments else np.empty(0, dtype=np.int64)
         self.value = np.repeat(sign * (impact * width + self.half), sizes)
-        self.inner = np.repeat((impact * width) ** 2, sizes)
+        self.inner = np.repeat((impact * width) ** 2 / 2, sizes)
         # By dimension: the largest component of each segment, and where its members end.
         lists = [[i for i, s in enumerate(segments) if s[0] == d] for d in range(dims)] if segments else [[]] * dims
         longest = max(1, max(map(len, lists), default=1))
@@ -72,30 +72,40 @@ class Postings:
             return np.arange(n), 0
         size = np.abs(query).astype(np.float64)
         product = self.most * size[:, None]
-        score, met, mass = np.zeros(n), np.zeros(n), np.zeros(n)
+        total = float((size**2).sum())
+        # Twice the product of two norms is at most c times the square of one and 1 / c that of the other, so one sum tells what has not met.
+        c = np.sqrt(max(float(self.norms.mean()), 1.0) / max(total, 1.0))
+        score, open_mass = np.zeros(n), (c * total + self.norms / c) / 2
         opened, every = np.zeros(dims, dtype=np.int64), np.arange(dims)
-        total, read, limit = float((size**2).sum()), 0, float(product.max())
+        padded = np.append(product, np.zeros((dims, 1)), axis=1)
+        read, limit = 0, float(product.max())
+        few_best, kth = min(n, 8 * (k + 1)), -np.inf
         while True:
             limit *= STEP
             # Segments that gain nothing, by a zero in the query, are never opened.
             want = (product > limit).sum(axis=1)
-            start, length = self.ends[every, opened], self.ends[every, want] - self.ends[every, opened]
-            opened = want
+            start, stop = self.ends[every, opened], self.ends[every, want]
+            opened, length = want, stop - start
             if length.any():
-                before = np.cumsum(length) - length
-                at = np.repeat(start - before, length) + np.arange(length.sum())
-                node, read = self.members[at], read + len(at)
-                score += np.bincount(node, self.value[at] * np.repeat(query, length), n)
-                met += np.bincount(node, np.repeat(size**2, length), n)
-                mass += np.bincount(node, self.inner[at], n)
-            left = np.append(product, np.zeros((dims, 1)), axis=1)[every, opened].sum()
+                # A list's next segments lie side by side.
+                parts = [slice(a, b) for a, b in zip(start.tolist(), stop.tolist()) if b > a]
+                node, value, inner = (np.concatenate([x[p] for p in parts]) for x in (self.members, self.value, self.inner))
+                value *= np.repeat(query, length)
+                inner /= c
+                inner += np.repeat(c / 2 * size**2, length)
+                read += len(node)
+                score += np.bincount(node, value, n)
+                open_mass -= np.bincount(node, inner, n)
+            left = padded[every, opened].sum()
             # What a node may still gain or lose: no more than all lists still hold, nor than the norms of what has not met.
-            rest = np.minimum(left, np.sqrt(np.maximum(total - met, 0) * np.maximum(self.norms - mass, 0)))
-            error = self.half * size.sum() + 1e-9 * (np.abs(score) + total + self.norms)
-            lower, upper = score - rest - error, score + rest + error
-            if own >= 0:
-                lower[own] = -np.inf
-            stay = upper >= np.partition(lower, n - k)[n - k]
+            rest = np.minimum(left, np.maximum(open_mass, 0))
+            error = self.half * size.sum() + 1e-9 * (np.abs(score) + total + self.norms + c * total + self.norms / c)
+            # The k-th of a few exact products, those that look best so far, is a bound that every member reaches.
+            best = np.argpartition(score, n - few_best)[n - few_best :]
+            exact = self.points[best] @ query
+            exact = np.sort(exact[best != own])
+            kth = max(kth, float(exact[-k]))
+            stay = score + rest + error >= kth
             if left == 0 or stay.sum() <= few:
                 return np.flatnonzero(stay), read
 
