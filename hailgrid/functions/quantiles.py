@@ -4,20 +4,24 @@ The built-in ``percentile`` keeps every distinct value of a group in one
 buffer. That is right for counts, which repeat, but not for residuals, which
 rarely do. Here a sketch brackets each wanted rank, and only the values in the
 bracket (a fixed small share of the rows) are ranked, after being counted per
-distinct value.
+distinct value. What lies below a bracket is counted exactly, so a sketch that
+is off is noticed; the groups it misses get a wider one until every rank is held.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hailgrid.session import small_side
+from hailgrid.session import materialize, small_side
 
 SKETCH_ACCURACY = 20_000
+# Half the share of the rows that a bracket is to hold, and how much wider it is where it missed its rank.
 BRACKET = 10.0 / SKETCH_ACCURACY
+WIDER = 16
 # A bracket is ranked in so many parts of equal width, each in a task of its own.
 PARTS = 256
 
@@ -25,29 +29,16 @@ PARTS = 256
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with ``q0, q1, ...``: linearly interpolated quantiles.
 
-    With ``by`` the groups' brackets are written and counted when this is called, and handed to every task if they are few.
+    The values are written once when this is called, and narrowed to their brackets. The brackets of few groups are handed to every task.
     """
     keys = list(by)
     col = F.col(value) if isinstance(value, str) else value
-    data = df.select(*keys, col.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-
-    lows = [max(0.0, p - BRACKET) for p in probs]
-    highs = [min(1.0, p + BRACKET) for p in probs]
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", lows, SKETCH_ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", highs, SKETCH_ACCURACY).alias("_hi"),
-    )
+    data = materialize(df.select(*keys, col.cast("double").alias("_v")).filter(F.col("_v").isNotNull()))
+    sides = _brackets(data, probs, keys)
+    if keys:
+        sides = small_side(sides)
+    bracketed = attach(data, sides.select(*keys, "_lo", "_hi"), keys)
 
-    bracketed = attach(data, small_side(sketch) if keys else sketch, keys)
-    # Rows outside the bracket only matter through how many lie below it and
-    # which value is the nearest on either side.
-    sides = bracketed.groupBy(*keys).agg(
-        F.first("_n").alias("_n"),
-        *[F.count_if(F.col("_v") < F.col("_lo")[i]).alias(f"_below{i}") for i in range(len(probs))],
-        *[F.max(F.when(F.col("_v") < F.col("_lo")[i], F.col("_v"))).alias(f"_prev{i}") for i in range(len(probs))],
-        *[F.min(F.when(F.col("_v") > F.col("_hi")[i], F.col("_v"))).alias(f"_next{i}") for i in range(len(probs))],
-    )
     def part(i: int) -> Column:
         low, high = F.col("_lo")[i], F.col("_hi")[i]
         return F.when(high > low, F.floor((F.col("_v") - low) / (high - low) * (PARTS - 1)).cast("int")).otherwise(0)
@@ -74,7 +65,7 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     inside = inside.withColumn("_cum", F.sum("count").over(within))
     inside = attach(inside, parts, [*keys, "_slot", "_part"]).withColumn("_cum", F.col("_cum") + F.col("_before")).drop("_part", "_before")
 
-    ranked = attach(inside.drop("count"), sides, keys)
+    ranked = attach(inside.drop("count"), sides.drop("_lo", "_hi"), keys)
     spans = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("_n") - 1)
@@ -94,15 +85,61 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
         position = F.lit(p) * (F.col("_n") - 1)
         low, high = F.floor(position), F.ceil(position)
         below, prev, nxt = F.col(f"_below{i}"), F.col(f"_prev{i}"), F.col(f"_next{i}")
-        # The neighbours serve a rank that is one beside the bracket; one further off would be a wrong value.
-        lost = (low < below - 1) | (high > below + F.col(f"_in{i}"))
-        a = F.when(lost, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
-        a = a.when(low < below, prev).otherwise(F.coalesce(F.col(f"_a{i}"), nxt))
+        # The neighbours serve a rank that is one beside the bracket.
+        a = F.when(low < below, prev).otherwise(F.coalesce(F.col(f"_a{i}"), nxt))
         b = F.when(high < below, prev).otherwise(F.coalesce(F.col(f"_b{i}"), nxt))
         out.append((a + (b - a) * (position - low)).alias(f"q{i}"))
     return picked.select(*keys, *out)
 
 
+def _sketch(data: DataFrame, probs: Sequence[float], keys: Sequence[str], half: float) -> DataFrame:
+    """Per group its rows and, for each wanted rank, a value probably below and one probably above it."""
+    if half >= 1:
+        ends = [F.array_repeat(end("_v"), len(probs)) for end in (F.min, F.max)]
+    else:
+        ends = [
+            F.percentile_approx("_v", [min(1.0, max(0.0, p + step)) for p in probs], SKETCH_ACCURACY) for step in (-half, half)
+        ]
+    return data.groupBy(*keys).agg(F.count("*").alias("_n"), ends[0].alias("_lo"), ends[1].alias("_hi"))
+
+
+def _brackets(data: DataFrame, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """One row per group: its rows, each rank's bracket, the rows below it and the value next to it on either side.
+
+    Every bracket holds its rank or has it as a neighbour, by exact counts. Each round takes the groups whose bracket doesn't and
+    widens it, up to the whole group, so there are at most four rounds and nearly always one.
+    """
+    slots = range(len(probs))
+    half, found, missing = BRACKET, [], data
+    while True:
+        sketch = _sketch(missing, probs, keys, half)
+        sketch = small_side(sketch) if keys else sketch
+        low, high = (lambda i: F.col("_lo")[i]), (lambda i: F.col("_hi")[i])
+        counted = materialize(
+            attach(missing, sketch, keys).groupBy(*keys).agg(
+                *[F.first(c).alias(c) for c in ("_n", "_lo", "_hi")],
+                *[F.count_if(F.col("_v") < low(i)).alias(f"_below{i}") for i in slots],
+                *[F.count_if(F.col("_v") > high(i)).alias(f"_above{i}") for i in slots],
+                *[F.max(F.when(F.col("_v") < low(i), F.col("_v"))).alias(f"_prev{i}") for i in slots],
+                *[F.min(F.when(F.col("_v") > high(i), F.col("_v"))).alias(f"_next{i}") for i in slots],
+            )
+        )
+        lost = F.lit(False)
+        for i, p in enumerate(probs):
+            position = F.lit(p) * (F.col("_n") - 1)
+            last = F.col("_n") - F.col(f"_above{i}")
+            lost = lost | (F.floor(position) < F.col(f"_below{i}") - 1) | (F.ceil(position) > last)
+        lost = F.coalesce(lost, F.lit(False))
+        found.append(counted.filter(~lost).drop(*[f"_above{i}" for i in slots]))
+        again = counted.filter(lost).select(*keys)
+        if half >= 1 or again.isEmpty():
+            break
+        half *= WIDER
+        if keys:
+            missing = attach(data, small_side(again), keys)
+    return reduce(DataFrame.unionByName, found)
+
+
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Put the per-group row of ``right`` beside every row of ``left``.
 

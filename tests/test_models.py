@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hailgrid.functions import quantiles
 from hailgrid.functions.quantiles import exact_quantiles
 from hailgrid.operators import baseline, explore, forest, metrics, residuals, similarity, splits
 from hailgrid.plans import workflows
@@ -86,6 +87,30 @@ def test_exact_quantiles_with_a_hot_value_and_groups(spark, n):
     assert list(exact_quantiles(df, "v", probs).first()) == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
 
 
+@pytest.mark.parametrize("shift", [-0.3, 0.02])
+def test_exact_quantiles_with_a_sketch_that_is_off(spark, monkeypatch, shift):
+    """Brackets that lie beside their ranks are widened until they hold them, for some groups or all."""
+    honest = quantiles._sketch
+
+    def off(data, probs, keys, half):
+        moved = [min(1.0, max(0.0, p + shift)) for p in probs] if half < 1 else probs
+        return honest(data, moved, keys, half)
+
+    monkeypatch.setattr(quantiles, "_sketch", off)
+    rng = np.random.default_rng(5)
+    values, group = rng.normal(0, 1, 3_000), rng.integers(0, 40, 3_000)
+    group[group == 3] = 4
+    values[group == 7] = 2.5
+    df = spark.createDataFrame([(int(g) if g else None, float(v)) for g, v in zip(group, values)], "g int, v double")
+    probs = (0.0, 0.1, 0.5, 0.95)
+    got = exact_quantiles(df, "v", probs, ["g"]).collect()
+    assert len(got) == 39
+    for row in got:
+        assert list(row)[1:] == pytest.approx(list(np.quantile(values[group == (row.g or 0)], probs)), abs=1e-12)
+    assert list(exact_quantiles(df, "v", probs).first()) == pytest.approx(list(np.quantile(values, probs)), abs=1e-12)
+    assert list(exact_quantiles(df.filter("v > 100"), "v", probs).first()) == [None] * 4
+
+
 def test_describe_uses_the_sample_deviation(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 4.0), (2, 9.0)], "g int, v double")
     a = {r.g: r for r in metrics.describe(df, "v", by=["g"]).collect()}
