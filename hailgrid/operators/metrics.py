@@ -24,12 +24,12 @@ def rmse(a: Column | str, b: Column | str, weight: str | None = None) -> Column:
 
 
 def r2(actual: str, predicted: str, weight: str | None = None) -> Column:
-    """``1 - sse / sst``; a row of weight n counts as n rows."""
+    """``1 - sse / sst``; a row of weight n counts as n rows. Null where the actual value doesn't vary."""
     error = F.col(actual) - F.col(predicted)
     if weight is None:
-        return 1 - F.sum(error * error) / (F.var_pop(actual) * F.count(actual))
+        return 1 - F.try_divide(F.sum(error * error), F.var_pop(actual) * F.count(actual))
     w, y = F.col(weight), F.col(actual)
-    return 1 - F.sum(error * error * w) / (F.sum(y * y * w) - F.sum(y * w) * F.sum(y * w) / F.sum(w))
+    return 1 - F.try_divide(F.sum(error * error * w), F.sum(y * y * w) - F.sum(y * w) * F.sum(y * w) / F.sum(w))
 
 
 def quantile_name(p: float) -> str:

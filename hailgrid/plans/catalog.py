@@ -689,7 +689,9 @@ def _forest_facts(t: Tables, model_type: str) -> DataFrame:
     searched = forest.get_model_stats(result.model, t.spark).select(
         "num_trees", "max_depth", "min_instances", (F.col("cv_rmse") > 0).alias("scored")
     )
-    return attach(searched.withColumn("model_type", F.lit(model_type)), _facts(result, "count_scaled", "n_records"), ())
+    folds = {f"n_fold{i}": F.lit(n).cast("long") for i, n in enumerate(result.model.fold_rows)}
+    searched = searched.withColumns({"model_type": F.lit(model_type), **folds})
+    return attach(searched, _facts(result, "count_scaled", "n_records"), ())
 
 
 @query
@@ -721,6 +723,14 @@ def rf_single_fit(t: Tables) -> DataFrame:
     )
 
 
+@query
+def rf_split_r2(t: Tables) -> DataFrame:
+    """R2 of one fit on each half. Trees are not known to SQL, so this has no oracle; a test recomputes it from the predictions."""
+    halves = forest.model_table(splits.mask_split(_features(t), forest.ROW_KEY, 0.5, seed=1))
+    model, _ = forest.fit_once(halves.filter("split = 'train'"), halves, "3", label="count", weight="n_records")
+    return forest.split_r2(model, halves, "count", "n_records")
+
+
 @query
 def rf_period_split(t: Tables) -> DataFrame:
     early, late = _time_split(t.rides())

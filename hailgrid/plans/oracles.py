@@ -658,9 +658,11 @@ def oracle_sql() -> dict[str, str]:
     for kind in ("1", "2", "3"):
         q[f"rf_type{kind}"] = _with(
             f""", parts AS (
-                  SELECT CASE WHEN {u} < {third!r}e0 THEN 'train' WHEN {u} < {third + third!r}e0 THEN 'dev' ELSE 'test' END AS split FROM features)
+                  SELECT CASE WHEN {u} < {third!r}e0 THEN 'train' WHEN {u} < {third + third!r}e0 THEN 'dev' ELSE 'test' END AS split,
+                         CAST(floor({_uniform(key, 1001)} * 2) AS INTEGER) AS fold FROM features)
                 SELECT 5::INTEGER AS num_trees, 10::INTEGER AS max_depth, CAST(m.v AS INTEGER) AS min_instances, true AS scored,
                        '{kind}' AS model_type, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'dev') AS n_dev,
+                       count(*) FILTER (split = 'train' AND fold = 0) AS n_fold0, count(*) FILTER (split = 'train' AND fold = 1) AS n_fold1,
                        count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split <> 'train') AS n_predicted,
                        true AS within_range, true AS beats_mean, true AS errors_known
                 FROM parts, (SELECT unnest([1, 5]) AS v) m GROUP BY m.v""", "features")

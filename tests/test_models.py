@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from hailgrid.functions import quantiles
@@ -203,6 +204,32 @@ def test_distances_and_clusters(spark, rows):
     assert got["c"].dist_to_center == pytest.approx(5.0) and got["a"].dist_to_center == pytest.approx(np.sqrt(1.25))
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_clusters_do_not_depend_on_partitions_and_are_an_optimum(spark, k):
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(m, 0.5, (20, 4)) for m in (0.0, 4.0, 9.0)])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "period int, v array<double>")
+    df = df.select("period", array_to_vector("v").alias("features"))
+    runs = [similarity.fit_clusters(df.repartition(parts), k) for parts in (1, 7)]
+    assert np.allclose(runs[0].centers, runs[1].centers) and len(runs[0].centers) == k
+    got = {r.period: r for r in similarity.dist_to_center(df, runs[0]).collect()}
+    groups = [list(range(60))] if k == 1 else [list(range(20 * g, 20 * g + 20)) for g in range(3)]
+    cost = 0.0
+    for group in groups:
+        assert len({got[i].prediction for i in group}) == 1
+        cost += ((points[group] - points[group].mean(axis=0)) ** 2).sum()
+    assert runs[0].cost == pytest.approx(cost) == pytest.approx(sum(r.dist_to_center**2 for r in got.values()))
+
+
+def test_clusters_with_few_distinct_rows(spark):
+    same = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "period int, v array<double>")
+    same = same.select("period", array_to_vector("v").alias("features"))
+    found = similarity.fit_clusters(same, 3)
+    assert found.centers == [[1.0, 2.0]] and found.cost == 0
+    with pytest.raises(ValueError):
+        similarity.fit_clusters(same.limit(0))
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_exact_split_sizes_do_not_depend_on_partitions(spark, parts):
     df = spark.range(5_000).repartition(parts).withColumn("g", F.col("id") % 3)
@@ -305,3 +332,57 @@ def test_weighted_errors_equal_repeated_rows(features):
 def test_a_search_scores_the_development_rows(features):
     result = forest.rf_pipeline(features, "1", {"numTrees": [2], "maxDepth": [3], "minInstancesPerNode": [1]}, num_folds=2)
     assert result.dev.count() > 0 and result.dev_rmse == pytest.approx(forest.evaluator().evaluate(result.dev))
+
+
+def test_a_search_does_not_depend_on_partitions(features):
+    grid = {"numTrees": [1, 4], "maxDepth": [2, 4], "minInstancesPerNode": [1, 3]}
+    runs = [forest.rf_pipeline(features.repartition(parts), "1", grid, num_folds=3).model for parts in (1, 7)]
+    assert runs[0].fold_rows == runs[1].fold_rows and len(runs[0].fold_rows) == 3 and min(runs[0].fold_rows) > 30
+    assert [s[:3] for s in runs[0].scores] == [(t, d, m) for t in (1, 4) for d in (2, 4) for m in (1, 3)]
+    assert [s[3] for s in runs[0].scores] == pytest.approx([s[3] for s in runs[1].scores], abs=1e-12)
+    best = min(runs[0].scores, key=lambda s: s[3])
+    assert runs[0].bestModel.stages[-1].getNumTrees == best[0]
+
+
+def test_folds_follow_the_key(features):
+    fold = forest.fold_of(forest.ROW_KEY, 4)
+    one, other = ({r[0]: r[1] for r in df.select("pickup_datetime", fold).collect()} for df in (features, features.repartition(5)))
+    assert one == other and set(one.values()) == {0, 1, 2, 3}
+    with pytest.raises(ValueError):
+        forest.fold_of(forest.ROW_KEY, 1)
+    with pytest.raises(ValueError):
+        forest.search_forest(features.limit(1), "1", {"numTrees": [1], "maxDepth": [2], "minInstancesPerNode": [1]})
+
+
+def test_errors_of_the_first_trees(features):
+    model = forest.build_pipeline("2", "count", numTrees=5, maxDepth=4).fit(features)
+    got = forest.prefix_rmse(model, features, [1, 3, 5], "count")
+    ready = forest.PipelineModel(model.stages[:-1]).transform(features).select("features", "count").collect()
+    actual = np.array([r["count"] for r in ready])
+    trees = np.array([[t.predict(r.features) for r in ready] for t in model.stages[-1].trees])
+    want = [np.sqrt(np.mean((trees[:k].mean(axis=0) - actual) ** 2)) for k in (1, 3, 5)]
+    assert got == pytest.approx(want) and got[2] == pytest.approx(forest.evaluator("count").evaluate(model.transform(features)))
+
+
+@pytest.mark.parametrize("least", [1, 7, 40])
+def test_a_tree_on_folded_rows_splits_as_on_repeated_ones(features, least):
+    folded = features.withColumn("w", (F.col("hour") % 4 + 1).cast("long")).coalesce(1)
+    repeated = folded.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "w"))).drop("_")
+    plain = {"numTrees": 1, "maxDepth": 5, "bootstrap": False}
+    one = forest.build_pipeline("1", "count", "w", **plain, **forest._least_weight(folded, "w", least)).fit(folded)
+    other = forest.build_pipeline("1", "count", **plain, minInstancesPerNode=least).fit(repeated)
+    a, b = (m.transform(folded).select("prediction").toPandas().prediction for m in (one, other))
+    assert one.stages[-1].totalNumNodes == other.stages[-1].totalNumNodes > 3
+    assert list(a) == pytest.approx(list(b), abs=1e-9)
+
+
+def test_r2_of_each_split(features):
+    halves = splits.mask_split(features, forest.ROW_KEY, 0.5, seed=1).withColumn("w", F.lit(1) + F.col("hour") % 2)
+    model, _ = forest.fit_once(halves.filter("split = 'train'"), halves, "1", label="count", weight="w")
+    scored = model.transform(halves).toPandas()
+    for r in forest.split_r2(model, halves, "count", "w").collect():
+        part = scored[scored.split == r.split]
+        mean = np.average(part["count"], weights=part.w)
+        want = 1 - (part.w * (part["count"] - part.prediction) ** 2).sum() / (part.w * (part["count"] - mean) ** 2).sum()
+        assert r.r2 == pytest.approx(want) and r.n_rows == len(part) and r.n_records == part.w.sum()
+    assert forest.split_r2(model, halves.withColumn("count", F.lit(3)), "count").first().r2 is None
