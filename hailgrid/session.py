@@ -7,6 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,17 +75,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return written(df)[0]
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``materialize`` with the path of the table, for jobs of many steps that ``discard`` a step's table after the next."""
+def written(df: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, str]:
+    """``materialize`` with the path of the table, for jobs of many steps that ``discard`` a step's table after the next.
+
+    With ``by`` the table has a folder for each value of these columns.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hailgrid-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.parquet(path), path
+    # a table in folders has no file to tell its columns where it has no rows
+    reader = spark.read.schema(df.schema) if by else spark.read
+    return reader.parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:

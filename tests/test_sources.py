@@ -158,3 +158,44 @@ def test_rides_come_back_by_period(spark, tmp_path):
     assert readers.read_rides_parquet(spark, f"{tmp_path}/rides", (2013, 12), (2014, 1), grid=None).count() == 2
     plan = got._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(pickup_latitude" in plan
+
+
+def test_column_types_over_several_files(spark, tmp_path):
+    header = "flag,n,x,day,at,mixed,big,code,none,exact"
+    one = put(tmp_path, "a.csv", header, "true,1,1.5,2014-01-02,2014-01-02 03:04:05,7,9223372036854775808,-3,,12345678901234567")
+    two = put(tmp_path, "b.csv", header, "FALSE,-20,3,2014-02-03,2014-01-02,seven,1,,,0.5", ",,1e-3,,2014-01-02T03:04,,,+4,,")
+    df = readers.read_typed_csv(spark, [one, two])
+    assert dict(df.dtypes) == {
+        "flag": "boolean", "n": "bigint", "x": "double", "day": "date", "at": "timestamp_ntz", "mixed": "string", "big": "string",
+        "code": "bigint", "none": "string", "exact": "string"}
+    got = sorted(df.select("n", "x", "mixed", "code").collect(), key=lambda r: r.x)
+    assert [tuple(r) for r in got] == [(None, 0.001, None, 4), (1, 1.5, "7", -3), (-20, 3.0, "seven", None)]
+    assert dict(readers.read_typed_csv(spark, one, ["mixed", "x"]).dtypes) == {"mixed": "bigint", "x": "double"}
+    assert readers.read_typed_csv(spark, put(tmp_path, "c.csv", "a,b")).dtypes == [("a", "string"), ("b", "string")]
+
+
+def test_column_types_take_one_pass(spark, tmp_path):
+    path = put(tmp_path, "a.csv", "a,b", "1,x", "2,y")
+    plan = readers.column_types(readers.read_csv(spark, path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_rejected_rows_are_kept_beside_the_rides(spark, rows, tmp_path):
+    files = [
+        put(tmp_path, "yellow_tripdata_2012-05_tiny.csv", "v,pickup_datetime,pickup_longitude,pickup_latitude",
+            "a,2012-05-01 01:02:03,-73.9,40.8", "a,2012-05-01 25:02:03,-73.9,40.8", "a,2012-05-01 01:02:03,west,40.8", "a,2012-05-01 01:02:03",
+            '"a,b",2012-05-01 01:02:03,-73.9,4O.8', "a,2012-05-01 01:02:03,,", "a,2012-05-01 01:02:03,-73.9,40.8,extra", '"x'),
+        put(tmp_path, "yellow_tripdata_2014-01_tiny.csv", "v, pickup_datetime, pickup_longitude, pickup_latitude",
+            "", "a,2014-01-01 01:02:03,-73.9,40.8", "a,nonsense,-73.9,40.8,,"),
+    ]
+    kept, rejected = readers.read_rides_checked(spark, files, grid=None)
+    assert kept.count() == 4 and rejected.count() == 6
+    got = {(os.path.basename(r.file), r.reason) for r in rejected.collect()}
+    early, late = (os.path.basename(f) for f in files)
+    assert got == {(early, "pickup time"), (early, "longitude"), (early, "latitude"), (early, "the row ends too early"), (late, "pickup time")}
+    assert {r.line for r in rejected.filter("reason = 'pickup time'").collect()} == {"a,2012-05-01 25:02:03,-73.9,40.8", "a,nonsense,-73.9,40.8,,"}
+    inside, _ = readers.read_rides_checked(spark, files)
+    assert rows(inside) == rows(readers.read_rides(spark, files, with_period=True, strict_time=False).filter("pickup_datetime is not null"))
+    assert rows(inside, "year", "month") == [(2012, 5), (2012, 5), (2014, 1)]
+    nothing = readers.read_rides_checked(spark, [put(tmp_path, "yellow_tripdata_2012-06_tiny.csv", "pickup_datetime,pickup_longitude,pickup_latitude")])
+    assert [df.count() for df in nothing] == [0, 0]
