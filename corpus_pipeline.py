@@ -23,16 +23,19 @@ LEAST_SCORE = 0.2
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those that resemble no learned language; fills in a missing lang.
 
-    Where no row is labelled nothing can be learned, and only documents without letters go.
+    Where no row is labelled nothing can be learned, and only documents without letters go. Further columns are kept, whatever their names.
     """
     bounded_batches(spark)
     model = langid.fit(docs.filter(~langid.held_out()))
-    kept = [c for c in docs.columns if c != "lang"]
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = langid.predict(docs.withColumnRenamed("lang", "_lang"), model, resembling=True)
+    # all columns but the text travel as one, so that none can clash with what the classifier adds
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    told = langid.predict(docs.select("text", rest.alias("_doc")), model, resembling=True)
     told = told.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return told.select(*kept, F.coalesce("_lang", "lang_pred").alias("lang")).select(*docs.columns)
+    doc = F.col("_doc")
+    own = {"text": F.col("text"), "lang": F.coalesce(doc["lang"], F.col("lang_pred"))}
+    return told.select(*[own.get(c, doc[c]).alias(c) for c in docs.columns])
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
