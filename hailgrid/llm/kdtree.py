@@ -13,6 +13,7 @@ The tree then is a nested conditional expression over the rows.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,12 +60,20 @@ class Node:
         return self.left.open() + self.right.open()
 
 
-def text_value(value: Column) -> Column:
-    """A number that orders texts as their first six bytes do; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, VALUE_BITS // 8)), VALUE_BITS // 4, "0")
+def text_value(value: Column, skip: int = 0) -> Column:
+    """A number that orders texts as the six bytes after the first ``skip`` do; null comes first."""
+    head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), skip + 1, VALUE_BITS // 8)), VALUE_BITS // 4, "0")
     return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
+def common_bytes(docs: DataFrame, names: list[str]) -> dict[str, int]:
+    """How many bytes all values of a text column begin with alike, by column: those that its least and its greatest value share."""
+    if not names:
+        return {}
+    ends = docs.agg(*[F.struct(*[f(F.encode(F.col(c).cast("string"), "utf-8")) for f in (F.min, F.max)]).alias(c) for c in names]).first()
+    return {c: len(os.path.commonprefix([bytes(x or b"") for x in ends[c]])) for c in names}
+
+
 def count_value(value: Column) -> Column:
     """A number that grows with the logarithm of a count; null comes first."""
     scaled = F.log2(F.greatest(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0)) + 1)
@@ -144,12 +153,14 @@ def shard(
 
     ``shards`` or ``target_bytes`` sets the number of leaves. Sizes are UTF-8 bytes plus ``overhead``; a null text has
     no bytes and the crc32 of nothing. ``dimensions`` name the metadata, by default source, lang and size where
-    the columns exist; nulls come first. Shards differ by about one document in a cut; repeated rows are placed
+    the columns exist; nulls come first. Of a text the six bytes after what all values begin with count: values that differ later only
+    are one value to the tree, which ties cut. Shards differ by about one document in a cut; repeated rows are placed
     each; equal texts need not share a shard; a null doc_id stays null; no rows give no rows. ``slot`` counts a shard's rows from 0 without gaps.
     The law is ``bytes``, so ``grown_shard`` is null.
     """
     if dimensions is None:
-        dimensions = {c: text_value(F.col(c).cast("string")) for c in ("source", "lang") if c in docs.columns}
+        skip = common_bytes(docs, [c for c in ("source", "lang") if c in docs.columns])
+        dimensions = {c: text_value(F.col(c).cast("string"), n) for c, n in skip.items()}
         dimensions["size"] = count_value(F.octet_length(text_or_empty()))
     names = [f"d{i}" for i in range(len(dimensions))]
     rows = docs.select(

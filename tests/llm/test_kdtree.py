@@ -35,6 +35,17 @@ def test_hot_value_and_equal_sizes(spark):
     assert max(sizes) - min(sizes) <= 6 * 100
 
 
+def test_a_common_prefix_does_not_hide_a_dimension(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = docs.withColumn("source", F.concat(F.lit("common_crawl_\u00e9/"), "source"))
+    plain, prefixed = (sorted((r.doc_id, r.shard, r.slot) for r in kdtree.shard(d, 3).collect()) for d in (docs, long))
+    assert plain == prefixed
+    assert kdtree.common_bytes(long.filter("source like '%0'"), ["source"])["source"] > 15
+    odd = spark.createDataFrame([("ab", None), (None, None), ("abc", None)], "source string, lang string")
+    assert kdtree.common_bytes(odd, ["source", "lang"]) == {"source": 2, "lang": 0}
+    assert kdtree.common_bytes(odd.filter("false"), ["source"]) == {"source": 0}
+
+
 def test_splits_follow_the_widest_dimension(spark):
     rows = spark.createDataFrame([(10, a << kdtree.TIE_BITS, b << kdtree.TIE_BITS) for a in range(100) for b in (0, 1)], "weight int, a long, b long")
     tree = kdtree.grow(rows, ["a", "b"], 4)

@@ -6,6 +6,7 @@ import string
 import corpus_pipeline
 from test_credentials import masked
 from test_packing import check
+from pyspark.sql import functions as F
 from test_partenum import brute as groups
 
 from hailgrid.llm import langid
@@ -57,6 +58,17 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_clashing_columns(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    own = {"score": F.lit(-7.5), "lang_pred": F.lit("mine"), "_lang": F.lit("x"), "_doc": F.col("doc_id"), "a.b": F.lit(3)}
+    wide = docs.withColumns(own)
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    got, plain = stage(spark, wide, FOLDER), stage(spark, docs, FOLDER)
+    assert got.columns == wide.columns and got.dtypes == wide.dtypes
+    assert got.filter("score = -7.5 and lang_pred = 'mine' and _lang = 'x' and _doc = doc_id and `a.b` = 3").count() == got.count() == plain.count()
+    assert sorted(map(tuple, got.select(*docs.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("false")
     for name, stage in corpus_pipeline.STAGES:
