@@ -4,9 +4,9 @@ Words are the matches of the split pattern, and each is encoded separately. The
 are counted, and Spark's higher-order functions fold the ranked merges over the byte arrays of
 the ``FREQUENT`` most frequent, looking pairs up in a literal rank map. Their ids go to every task, which replaces words by
 ids and never sees most words' bytes. Words beyond that, rare or long, are merged where they stand, by the same
-rule, so nothing depends on the dictionary but time. Decoding concatenates the pieces of the ids.
+rule, so nothing depends on the dictionary but time. Decoding concatenates the pieces of the ids, by a literal array of pieces.
 
-A word's bytes are written in hexadecimal within the fold: a text of two digits a byte, so joining two pieces is joining texts.
+Bytes are written in hexadecimal within the fold and the decoding: a text of two digits a byte, so joining two pieces is joining texts.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ FOLD_BYTES = 48
 # The rank map is dealt to so many small maps, since looking up a key goes through the entries of a map.
 MAPS = 1 << 15
 REMEMBERED = 100_000
+# Steps of the count to a doubling, and the shares in which the words of one step are dealt.
+STEPS, SHARES = 16, 1 << 20
 
-OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+ENCODED = "doc_id long, n_tokens long, ids_sha256 string, ids array<int>"
 
 
 def load_ranks(name: str = RANKS) -> dict[bytes, int]:
@@ -129,23 +131,24 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, frequent: int = FREQUENT) -> dict[str, bytes]:
-    """Ids, as bytes, of the most frequent distinct words of ``docs`` (text), at most ``frequent`` of them.
+    """Ids, as bytes, of the most frequent distinct words of ``docs`` (text), about ``frequent`` of them at most.
 
-    Counts cover every text. The words come to the driver with their ids; their number is bounded.
+    Counts cover every text and are cut into steps, ``STEPS`` to a doubling. Of the step that doesn't fit as a whole so large a share
+    of its words is taken, by their hashes, as there is room for. The words come to the driver with their ids; their number is bounded.
     """
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))).alias("word"))
     counts = materialize(words.groupBy("word").count().filter(F.octet_length("word") <= FOLD_BYTES))
-    # The least count that few enough words reach; many words share a small one.
-    steps = counts.groupBy(F.least("count", F.lit(10_000)).alias("count")).agg(F.count("*").alias("words")).orderBy(F.desc("count")).collect()
-    total, least = 0, None
+    # At most 64 * STEPS rows, however often words occur.
+    step = F.floor(F.log2("count") * STEPS)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    room, whole, share = frequent, steps[0]["step"] + 1 if steps else 0, 0
     for r in steps:
-        total += r["words"]
-        if total > frequent:
+        if r["words"] > room:
+            share = SHARES * room // r["words"]
             break
-        least = r["count"]
-    if least is None:
-        return {}
-    folded = counts.filter(F.col("count") >= least).select("word", fold(F.col("word"), ranks).alias("ids"))
+        room, whole = room - r["words"], r["step"]
+    part = (step == max((r["step"] for r in steps if r["step"] < whole), default=whole - 1)) & (F.pmod(F.xxhash64("word"), F.lit(SHARES)) < share)
+    folded = counts.filter((step >= whole) | part).select("word", fold(F.col("word"), ranks).alias("ids"))
     return {r.word: np.array(r.ids, dtype="<u4").tobytes() for r in folded.collect()}
 
 
@@ -175,12 +178,18 @@ def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-def encode(docs: DataFrame, ranks_name: str = RANKS, frequent: int = FREQUENT, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and the ids if asked for, of every row of ``docs`` (doc_id, text).
+def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of ids: their pieces, one after the other. Null for null, empty for none."""
+    pieces = F.from_json(F.lit(json.dumps([p.hex() for p in pieces_of(ranks)], separators=(",", ":"))), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""))
+
+
+def encode(docs: DataFrame, ranks_name: str = RANKS, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, ids) of every row of ``docs`` (doc_id, text).
 
     Special tokens are ordinary text. A null text is empty and has no ids; a null doc_id stays null; repeated rows are encoded
-    each; other columns are ignored; no rows give no rows. The digests are of the ids as little-endian unsigned
-    32-bit integers, and of the bytes that the ids decode to.
+    each; other columns are ignored; no rows give no rows. The digest is of the ids as little-endian unsigned
+    32-bit integers.
     """
     import regex
 
@@ -190,28 +199,24 @@ def encode(docs: DataFrame, ranks_name: str = RANKS, frequent: int = FREQUENT, w
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, table = shared.value
-        ids_of, split, pieces = Encoder(known, table).__getitem__, regex.compile(pattern).findall, pieces_of(table)
+        ids_of, split = Encoder(known, table).__getitem__, regex.compile(pattern).findall
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 data = b"".join(map(ids_of, split(text)))
-                ids = np.frombuffer(data, dtype="<u4").tolist()
-                decoded = b"".join(map(pieces.__getitem__, ids))
-                row = (None if pd.isna(doc) else int(doc), len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                rows.append((*row, ids) if with_ids else row)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+                ids = np.frombuffer(data, dtype="<i4")
+                rows.append((None if pd.isna(doc) else int(doc), len(ids), hashlib.sha256(data).hexdigest(), ids))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "ids"]).astype({"doc_id": "Int64"})
 
-    schema = OUTPUT + (", ids array<long>" if with_ids else "")
-    return own.mapInPandas(run, schema)
+    return own.mapInPandas(run, ENCODED)
 
 
 def decode(encoded: DataFrame, ranks_name: str = RANKS) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of its ``ids`` (array), piece after piece. Null ids decode to null."""
-    pieces = pieces_of(load_ranks(ranks_name))
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
+    return encoded.withColumn("decoded", decoded(F.col("ids"), load_ranks(ranks_name)))
 
-    @F.pandas_udf("binary")
-    def joined(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else b"".join(map(shared.value.__getitem__, x)))
 
-    return encoded.withColumn("decoded", joined("ids"))
+def round_trip(docs: DataFrame, ranks_name: str = RANKS, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``: ``encode``, and the digest of what the ids decode to."""
+    both = decode(encode(docs, ranks_name, frequent), ranks_name)
+    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -29,7 +29,7 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return bpe.encode(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op5_pruned_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

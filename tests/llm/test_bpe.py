@@ -22,21 +22,21 @@ def texts():
     draw = random.Random(5)
     alphabet = "ab e\n\t.,'éß中\U0001f600\x1c\x85 　  12s"
     out = ["".join(draw.choice(alphabet) for _ in range(draw.randrange(60))) for _ in range(200)]
-    return [*out, None, "", "x" * 5000, " " * 3000, "=" * 700 + "\n" * 900, "it's we'll <|endoftext|>", "\x00", "abc" * 40]
+    return [*out, None, "", "x" * 5000, " " * 3000, "=" * 700 + "\n" * 900, "it's we'll <|endoftext|>", "\x00", "abc" * 40, "long wörds, 12 é\n" * 40_000]
 
 
 @pytest.mark.parametrize("frequent", [200_000, 0, 50])
 def test_texts(spark, frequent):
     rows = list(enumerate(texts())) + [(3, "again"), (3, "again"), (None, "none")]
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, word string, ids int").repartition(3)
-    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(docs, frequent=frequent).collect())
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, frequent=frequent).collect())
     assert got == sorted((str(d), *brute(t)) for d, t in rows)
-    assert bpe.encode(docs.filter("false"), frequent=frequent).count() == 0
+    assert bpe.round_trip(docs.filter("false"), frequent=frequent).count() == 0
 
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode(docs).collect())
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs).collect())
     assert got == sorted((r.doc_id, *brute(r.text)) for r in docs.collect())
 
 
@@ -52,5 +52,24 @@ def test_fold_and_merge(spark):
 
 def test_decode(spark):
     docs = spark.createDataFrame(list(enumerate(["héllo wörld", "", "a\nb"])), "doc_id long, text string")
-    back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(docs, with_ids=True)).collect()}
+    back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(bpe.encode(docs)).collect()}
     assert back == {i: t.encode() for i, t in enumerate(["héllo wörld", "", "a\nb"])}
+
+
+def test_the_dictionary_fills_up_and_never_empties(spark):
+    even = spark.createDataFrame([(" ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)),)] * 3, "text string")
+    words = bpe.frequent_words(even, RANKS, bpe.split_pattern(), 100)
+    assert 60 <= len(words) <= 140
+    mixed = even.union(spark.createDataFrame([("often " * 50_000,)], "text string"))
+    words = bpe.frequent_words(mixed, RANKS, bpe.split_pattern(), 100)
+    assert " often" in words and 60 <= len(words) <= 140
+    assert len(bpe.frequent_words(even, RANKS, bpe.split_pattern(), 10_000)) == 600
+    assert bpe.frequent_words(even.filter("false"), RANKS, bpe.split_pattern()) == {}
+
+
+def test_decoding_runs_no_python(spark):
+    ids = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    back = bpe.decode(ids)
+    assert "Python" not in back._jdf.queryExecution().toString()
+    pieces = bpe.pieces_of(RANKS)
+    assert {r.doc_id: r.decoded if r.decoded is None else bytes(r.decoded) for r in back.collect()} == {1: pieces[5] + pieces[6], 2: b"", 3: None}
