@@ -13,11 +13,17 @@ def _quoted(text: str) -> str:
 
 def _credentials() -> str:
     found = []
-    for rank, (kind, pattern, group, least) in enumerate(c.KINDS):
-        fast = _quoted(c.RUNS.get(pattern, pattern))
+    slashed = c.SLASHED[0]
+    for rank, (kind, pattern, group, least) in enumerate((*c.KINDS, c.SLASHED)):
+        # The vertical tab is a space in Java's patterns.
+        fast = _quoted(c.RUNS.get(pattern, pattern).replace(r"[^\s", r"[^\s\x0B"))
         ok = f"length(regexp_extract(m, {_quoted(pattern)}, {group})) >= {least}"
         if kind == "linked_secret":
             ok += " AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"
+        if kind == slashed:
+            ok = f"""length(m) >= {least} AND contains(m, '/') AND NOT starts_with(m, '://')
+              AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')
+              AND length(replace(m, '/', '')) <= {c.RUN_LENGTH} * len(regexp_extract_all(m, '[a-z]+|[A-Z]+|[0-9]+|[+_=-]+'))"""
         found.append(f"""
     SELECT r, '{kind}' AS kind, {rank} AS rank, stop - length(m) AS start, stop FROM (
       SELECT r, m, {ok} AS ok, sum(gap + length(m)) OVER (PARTITION BY r ORDER BY i) AS stop FROM (
@@ -32,12 +38,14 @@ base AS (SELECT * FROM parts WHERE rank < {len(c.BASE)}),
 secrets AS (
   SELECT * FROM base WHERE kind <> 'access' UNION ALL
   SELECT * FROM parts p WHERE kind = 'linked_secret'
-    AND NOT EXISTS (SELECT 1 FROM base x WHERE x.r = p.r AND x.start < p.stop AND p.start < x.stop)),
+    AND NOT EXISTS (SELECT 1 FROM base x WHERE x.r = p.r AND x.start < p.stop AND p.start < x.stop) UNION ALL
+  SELECT * FROM parts p WHERE kind = '{slashed}'
+    AND NOT EXISTS (SELECT 1 FROM base x WHERE x.kind = 'assign' AND x.r = p.r AND x.start < p.stop AND p.start < x.stop)),
 ids AS (SELECT * FROM parts WHERE kind IN ('access', 'linked_id')),
 spans AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM parts p WHERE kind = 'linked_id' AND EXISTS (SELECT 1 FROM secrets x WHERE {near}) UNION ALL
-  SELECT * FROM secrets p WHERE kind = 'linked_secret' AND EXISTS (SELECT 1 FROM ids x WHERE {near}) UNION ALL
+  SELECT * FROM secrets p WHERE kind IN ('linked_secret', '{slashed}') AND EXISTS (SELECT 1 FROM ids x WHERE {near}) UNION ALL
   SELECT * FROM parts p WHERE kind = 'linked_endpoint' AND EXISTS (SELECT 1 FROM secrets x WHERE {near}) AND EXISTS (SELECT 1 FROM ids x WHERE {near})),
 by_row AS (
   SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in c.BASE)},
