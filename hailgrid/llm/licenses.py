@@ -6,7 +6,7 @@ whole corpus. A matching block must hold one of the first |T| - ceil(t |T|) + 1
 words of a template (prefix filter), enough template words at all (length filter), and
 enough words around the one that was met (positional filter); what remains is counted exactly.
 
-Notices of a sentence are looked for in lines, longer texts in paragraphs, since they are wrapped.
+Notices of a sentence are looked for in every run of ``LINES`` adjacent lines of a paragraph, since they may be wrapped; longer texts in paragraphs.
 The templates are a fixed list, so their index is small whatever the corpus is.
 """
 
@@ -46,13 +46,42 @@ PASSAGES = (
      "without warranties or conditions of any kind, either express or implied."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
      "Software Foundation, either version 3 of the license, or at your option any later version."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for "
+     "a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action "
+     "of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the "
+     "License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+     "Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+     "Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+     "materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+     "prior written permission."),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied "
+     "warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, "
+     "indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or "
+     "profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) "
+     "arising in any way out of the use of this software, even if advised of the possibility of such damage."),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and "
+     "fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data "
+     "or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+     "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under "
+     "copyright law, including all related and neighboring rights, to the extent allowed by law."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
      "copyright notice and this permission notice appear in all copies."),
     ("mpl", "This source code form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one."),
 )
 TEMPLATES = tuple(("line", *x) for x in NOTICES) + tuple(("paragraph", *x) for x in PASSAGES)
-BLOCKS = {"line": r"[\r\n]+", "paragraph": r"\r?\n[ \t]*\r?\n\s*"}
+LINE, PARAGRAPH = r"[\r\n]+", r"\r?\n[ \t]*\r?\n\s*"
+# Adjacent lines that a notice may be wrapped over. A run of so many holds the words of all shorter ones in it.
+LINES = 3
 THRESHOLD = 0.9
 
 
@@ -64,6 +93,11 @@ def words(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(FAST_WORD), F.lit(0))
 
 
+def line_runs(lines: Column) -> Column:
+    """Every run of ``LINES`` adjacent lines, and the shorter ones at the end, as texts."""
+    return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, F.lit(LINES)), "\n"))
+
+
 def word_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Ranks of the template words, by the number of documents that hold them, rarest first; ties by the word."""
     # The plain lower() will do here: it differs in a few letters that no template has, and the order decides no result.
@@ -114,7 +148,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES, phr
         first = sorted({by_rank[r] for _, _, g, _, _, r, _ in prefixes if g == grain})
         least = min(n for _, _, g, _, n in index if g == grain)
         met = rf"(?:^|{EDGE})(?:{'|'.join(map(re.escape, first))})(?:$|{EDGE})"
-        chosen = F.filter(F.split(low, BLOCKS[grain], -1), lambda block: block.rlike(met))
+        chosen = F.filter(F.split(low, PARAGRAPH, -1), lambda block: block.rlike(met))
+        if grain == "line":
+            runs = F.flatten(F.transform(chosen, lambda block: line_runs(F.split(block, LINE, -1))))
+            chosen = F.filter(runs, lambda block: block.rlike(met))
         held = F.transform(chosen, lambda b: F.sort_array(F.transform(F.array_intersect(words(b), vocabulary), lambda w: ranks[w])))
         long = F.filter(held, lambda b: F.size(b) >= least)
         return F.transform(long, lambda b: F.struct(F.lit(grain).alias("grain"), b.alias("own")))

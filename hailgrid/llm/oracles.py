@@ -85,9 +85,6 @@ def _licenses() -> str:
     templates = ", ".join(
         f"('{grain}', '{label}', [{', '.join(_quoted(w) for w in sorted(li.template_words(text)))}])" for grain, label, text in li.TEMPLATES
     )
-    blocks = " UNION ALL ".join(
-        f"SELECT r, '{grain}' AS grain, unnest(string_split_regex(low, {_quoted(cut)})) AS block FROM docs" for grain, cut in li.BLOCKS.items()
-    )
     return f"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -100,7 +97,11 @@ stood AS (
 places AS ({places}),
 base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS ls FROM places GROUP BY r),
 templates AS (SELECT * FROM (VALUES {templates}) t(grain, label, ts)),
-blocks AS ({blocks}),
+paragraphs AS (SELECT r, unnest(string_split_regex(low, {_quoted(li.PARAGRAPH)})) AS block FROM docs),
+lines AS (SELECT r, string_split_regex(block, {_quoted(li.LINE)}) AS ls FROM paragraphs),
+blocks AS (
+  SELECT r, 'paragraph' AS grain, block FROM paragraphs UNION ALL
+  SELECT r, 'line', array_to_string(ls[i:i + {li.LINES - 1}], chr(10)) FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines)),
 held AS (SELECT r, grain, list_distinct(regexp_extract_all(block, {word})) AS bs FROM blocks),
 matched AS (
   SELECT r, label, len(list_intersect(bs, ts)) / len(ts) AS part FROM held JOIN templates USING (grain)
