@@ -18,7 +18,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +98,30 @@ def fold(word: Column, ranks: dict[bytes, int], maps: int = MAPS) -> Column:
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same fold for one word, in n log n steps: pairs wait in a heap by rank and place."""
+    """The same fold for one word. Short ones look through their pairs at each merge, which a heap would only slow down."""
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
+    return _merge_short(word, ranks) if len(word) <= FOLD_BYTES else _merge_long(word, ranks)
+
+
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    none, rank = 1 << 62, ranks.get
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = rank(pieces[i - 1] + pieces[i], none)
+        if i < len(pairs):
+            pairs[i] = rank(pieces[i] + pieces[i + 1], none)
+    return [ranks[p] for p in pieces]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """In n log n steps: pairs wait in a heap by rank and place."""
     pieces: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
     waiting: list[tuple[int, int, bytes]] = []
@@ -197,18 +217,18 @@ def encode(docs: DataFrame, ranks_name: str = RANKS, frequent: int = FREQUENT) -
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast((frequent_words(own.select("text"), ranks, pattern, frequent), ranks))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table = shared.value
         ids_of, split = Encoder(known, table).__getitem__, regex.compile(pattern).findall
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                data = b"".join(map(ids_of, split(text)))
-                ids = np.frombuffer(data, dtype="<i4")
-                rows.append((None if pd.isna(doc) else int(doc), len(ids), hashlib.sha256(data).hexdigest(), ids))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "ids"]).astype({"doc_id": "Int64"})
-
-    return own.mapInPandas(run, ENCODED)
+            data = [b"".join(map(ids_of, split(text.as_py()))) for text in batch.column("text")]
+            lengths = np.array([len(x) // 4 for x in data], dtype=np.int64)
+            starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(starts, np.frombuffer(b"".join(data), dtype="<i4"))
+            digests = pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), digests, ids], ["doc_id", "n_tokens", "ids_sha256", "ids"])
+
+    return own.mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, ranks_name: str = RANKS) -> DataFrame:

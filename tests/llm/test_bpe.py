@@ -48,6 +48,7 @@ def test_fold_and_merge(spark):
         want = LIBRARY.encode_single_token(r.word) if r.word.encode() in RANKS else None
         want = [want] if want is not None else LIBRARY._core_bpe.encode_single_piece(r.word.encode())
         assert r.ids == want and bpe.merge_bytes(r.word.encode(), RANKS) == want
+        assert bpe._merge_short(r.word.encode(), RANKS) == bpe._merge_long(r.word.encode(), RANKS)
 
 
 def test_decode(spark):
