@@ -28,7 +28,8 @@ def r2(actual: str, predicted: str, weight: str | None = None) -> Column:
     error = F.col(actual) - F.col(predicted)
     if weight is None:
         return 1 - F.try_divide(F.sum(error * error), F.var_pop(actual) * F.count(actual))
-    w, y = F.col(weight), F.col(actual)
+    # as doubles: the squared sums of whole counts pass 64 bits; below 2**53 a double holds them exactly
+    w, y = F.col(weight), F.col(actual).cast("double")
     return 1 - F.try_divide(F.sum(error * error * w), F.sum(y * y * w) - F.sum(y * w) * F.sum(y * w) / F.sum(w))
 
 

@@ -386,3 +386,13 @@ def test_r2_of_each_split(features):
         want = 1 - (part.w * (part["count"] - part.prediction) ** 2).sum() / (part.w * (part["count"] - mean) ** 2).sum()
         assert r.r2 == pytest.approx(want) and r.n_rows == len(part) and r.n_records == part.w.sum()
     assert forest.split_r2(model, halves.withColumn("count", F.lit(3)), "count").first().r2 is None
+
+
+def test_weighted_r2_of_large_counts(spark):
+    """Squared sums of whole counts and weights pass 64 bits; R2 is still that of numpy."""
+    y, p, w = [3_000_000_000, 1_000_000_000, 2_000_000_000], [2.5e9, 1.5e9, 2.0e9], [2, 1, 3]
+    df = spark.createDataFrame(list(zip(y, p, w)), "count long, prediction double, n_records long")
+    got = df.agg(metrics.r2("count", "prediction", "n_records")).first()[0]
+    ya, wa = np.array(y, dtype=float), np.array(w, dtype=float)
+    mean = np.sum(ya * wa) / np.sum(wa)
+    assert got == pytest.approx(1 - np.sum((ya - np.array(p)) ** 2 * wa) / np.sum((ya - mean) ** 2 * wa))
