@@ -73,12 +73,14 @@ def join_nearest_reading(
 
     rows = held.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
     near = F.when(~F.col("_asked"), F.struct("_t", "_reading"))
-    # Readings come before rides at the same time, so the earlier side takes an equal one.
+    # Readings come before rides at the same time, so the earlier side takes an equal one. (_t, _asked) is unique in a bucket,
+    # so the next reading is the last one of the reversed order: a growing frame, where one to the end is recomputed at each row.
     order = Window.partitionBy("_b").orderBy("_t", "_asked")
+    reverse = Window.partitionBy("_b").orderBy(F.col("_t").desc(), F.col("_asked").desc())
     sides = rows.withColumns(
         {
             "_before": F.last(near, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "_after": F.first(near, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+            "_after": F.last(near, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0)),
         }
     ).filter("_asked")
     back, on = F.col("_t") - F.col("_before._t"), F.col("_after._t") - F.col("_t")

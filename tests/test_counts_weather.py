@@ -162,3 +162,20 @@ def test_missing_stretches_cross_months(spark):
     at = lambda h: start + timedelta(hours=h)
     assert got == [(at(3), at(4), 2), (at(7), at(59), 53), (at(62), at(1999), 1938)]
     assert weather.missing_stretches(rows.limit(1)).count() == 0
+
+
+def test_nearest_reading_in_a_crowded_bucket_has_no_frame_to_the_end(spark):
+    """Many times in one bucket: the next reading comes from a growing frame, not one recomputed to the bucket's end at each row."""
+    base = datetime(2024, 1, 1)
+    readings = [(base + timedelta(seconds=7 * i), float(i)) for i in range(200)]
+    rides = [(i, base + timedelta(seconds=5 * i + 2)) for i in range(300)]
+    w = spark.createDataFrame(readings, "datetime timestamp_ntz, fahrenheit double")
+    r = spark.createDataFrame(rides, "ride_id long, pickup_datetime timestamp_ntz")
+    got = joins.join_nearest_reading(r, w, 10)
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan
+    want = {}
+    for i, t in rides:
+        near = min(readings, key=lambda x: (abs((x[0] - t).total_seconds()), x[0]))
+        want[i] = near[1] if abs((near[0] - t).total_seconds()) <= 600 else None
+    assert {x.ride_id: x.fahrenheit for x in got.collect()} == want
